@@ -8,6 +8,12 @@ from orograph.functions.ship import ship
 from orograph.functions.tables import load
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.warc import archive_pages
+
+    return archive_pages(load(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.mixing import mix
 
@@ -15,4 +21,4 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_mixing,)}
+    return {f.__name__: f for f in (op2_warc, op7_mixing)}

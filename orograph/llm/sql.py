@@ -27,4 +27,14 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
-ORACLE = {"op7_mixing": OP7}
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS f FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM r
+"""
+
+ORACLE = {"op2_warc": OP2, "op7_mixing": OP7}
