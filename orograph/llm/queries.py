@@ -20,5 +20,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.quality import quality
+
+    return quality(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op7_mixing)}
+    return {f.__name__: f for f in (op2_warc, op7_mixing, op8_quality)}
