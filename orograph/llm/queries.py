@@ -14,6 +14,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(load(spark, sf_dir, "pages")).drop("url")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.pii import find
+
+    return find(load(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.mixing import mix
 
@@ -27,4 +33,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op7_mixing, op8_quality)}
+    return {f.__name__: f for f in (op2_warc, op4_pii, op7_mixing, op8_quality)}
