@@ -20,6 +20,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(load(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.suffixes import drop_repeated_bytes
+
+    return drop_repeated_bytes(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.mixing import mix
 
@@ -32,5 +38,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(load(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.substrings import drop_repeated_passages
+
+    return drop_repeated_passages(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_pii, op7_mixing, op8_quality)}
+    return {f.__name__: f for f in (op2_warc, op4_pii, op6_suffix_array, op7_mixing, op8_quality, op10_substrings)}
