@@ -38,6 +38,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(load(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.minhash import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"), shingle=4)
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.substrings import drop_repeated_passages
 
@@ -45,4 +51,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_pii, op6_suffix_array, op7_mixing, op8_quality, op10_substrings)}
+    return {f.__name__: f for f in (op2_warc, op4_pii, op6_suffix_array, op7_mixing, op8_quality, op9_minhash, op10_substrings)}
