@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.functions.ship import ship
 from orograph.functions.tables import load
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.pieces import round_trip
+
+    return round_trip(load(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.warc import archive_pages
 
     return archive_pages(load(spark, sf_dir, "pages")).drop("url")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.tokencounts import token_counts
+
+    return token_counts(load(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.pii import find
 
     return find(load(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.topk import top_k
+
+    return top_k(load(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orograph.llm.suffixes import drop_repeated_bytes
 
@@ -51,4 +68,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op4_pii, op6_suffix_array, op7_mixing, op8_quality, op9_minhash, op10_substrings)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_topk, op6_suffix_array, op7_mixing, op8_quality, op9_minhash, op10_substrings)}
