@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from orograph.llm.textnp import Words, chunks
 from orograph.llm.windows import Plan, cover, hashed, repeated, with_stretches
@@ -31,9 +30,7 @@ def drop_repeated_passages(docs: DataFrame, *, window: int = 50) -> DataFrame:
     """
     plan = Plan("word", window, (window + 1) // 2, (1 << 10, 1))
     t = hashed(docs)
-    found = repeated(
-        t, plan, grouped=[F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")], again=F.col("d1") < F.col("d2"), removed=F.col("doc_id") > F.col("d1")
-    )
+    found = repeated(t, plan, earlier=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

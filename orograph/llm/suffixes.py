@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from orograph.llm.textnp import buffers, chunks
 from orograph.llm.windows import Plan, cover, hashed, repeated, with_stretches
@@ -33,7 +32,7 @@ def drop_repeated_bytes(docs: DataFrame, *, window: int = 400, gram: int = 64) -
     """
     plan = Plan("byte", window, min(gram, window), (1 << 10, 32, 1))
     t = hashed(docs)
-    found = repeated(t, plan, grouped=[], again=F.col("n") > 1, removed=F.lit(True))
+    found = repeated(t, plan, earlier=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,8 +4,9 @@ A window's *anchor* is the gram of smallest hash in it. Anchors depend on a
 window's own content only, so equal windows have equal anchors at equal places, and
 consecutive windows mostly share one: a *run*. Grouping starts with runs by their
 gram. Members of a group that extend alike to both sides for all their windows are
-settled together; the rest are cut into blocks of fewer windows and grouped again
-by what all windows of a block have in common, down to single windows. Each round
+settled together and one goes on for them; where members differ, they are cut into
+blocks of fewer windows and grouped again by what all windows of a block have in
+common, down to single windows. Each round
 reads the texts once more and keys only what the round before left open (a merged
 sketch tells, which may let too much through but loses nothing).
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.tables import materialize
@@ -27,7 +28,7 @@ from orograph.llm.textnp import BASE, BYTE, Prefix, U, Words, buffers, chunks, m
 SEGMENT = 1 << 22
 PLACE_BITS = 24
 BASE_2 = 0xA24BAED4963EE407
-ITEMS = "doc_id long, th long, k long, u long, p1 long, p2 long"
+ITEMS = "doc_id long, th long, k long, u long, r long, p1 long, p2 long"
 
 
 @dataclass(frozen=True)
@@ -134,14 +135,17 @@ def count_grams(docs: DataFrame, plan: Plan, bits: int, tasks: int) -> list[np.n
 
 
 def open_items(docs: DataFrame, plan: Plan, level: int, filters: list) -> DataFrame:
-    """Blocks of round ``level``: document, key (k), extent hash (u), first and last window start in the document.
+    """Blocks of round ``level``: document, key (k), extent hash (u), own hash (r), first and last window start in the document.
 
-    ``filters``: broadcast (sketch, bits) of the grams, then of the keys that each round before left open.
+    ``filters``: broadcast (sketch, bits) of the grams, then of the own hashes that each round before sends on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
+                own = np.zeros(piece.num_rows, U)
+                for c in ("doc_id", "th"):
+                    own = mix64(own + piece.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
                 for s, offs, seg in segments(piece.column("text"), plan):
                     yes = sk.holds(*filters[0].value, seg.gram_keys())
                     a, p1, p2 = seg.anchor[yes], seg.p1[yes], seg.p2[yes]
@@ -149,28 +153,31 @@ def open_items(docs: DataFrame, plan: Plan, level: int, filters: list) -> DataFr
                         if not len(a):
                             break
                         a, p1, p2, key = seg.split(a, p1, p2, plan.blocks[i])
+                        u = seg.extents(a, p1, p2)
+                        doc = np.searchsorted(offs, p1 + s, "right") - 1
+                        base = offs[doc] - s
+                        r = mix64(key + mix64(u + mix64(own[doc] + (p1 - base).astype(U))))
                         if i < level:
-                            yes = sk.holds(*filters[i + 1].value, key)
+                            yes = sk.holds(*filters[i + 1].value, r)
                             a, p1, p2 = a[yes], p1[yes], p2[yes]
                     if not len(a):
                         continue
-                    u = seg.extents(a, p1, p2)
-                    doc = np.searchsorted(offs, p1 + s, "right") - 1
-                    base = offs[doc] - s
                     rows = pa.array(doc)
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column("doc_id").take(rows), piece.column("th").take(rows), pa.array(key.view(np.int64)), pa.array(u.view(np.int64)), pa.array(p1 - base), pa.array(p2 - base)],
-                        names=["doc_id", "th", "k", "u", "p1", "p2"],
+                        [piece.column("doc_id").take(rows), piece.column("th").take(rows), *(pa.array(x.view(np.int64)) for x in (key, u, r)), pa.array(p1 - base), pa.array(p2 - base)],
+                        names=["doc_id", "th", "k", "u", "r", "p1", "p2"],
                     )
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, ITEMS)
 
 
-def repeated(docs: DataFrame, plan: Plan, *, grouped: list[Column], again: Column, removed: Column) -> DataFrame:
-    """Covered stretches (doc_id, th, p1, p2 exclusive) of all windows that ``removed`` picks.
+def repeated(docs: DataFrame, plan: Plan, *, earlier: bool) -> DataFrame:
+    """Covered stretches (doc_id, th, p1, p2 exclusive) of all repeated windows.
 
-    ``grouped``: aggregates of a group beside its size and extents; ``again``: the
-    groups in which a window may be removed; ``removed``: which members are.
+    A window is repeated if its content starts anywhere else, or, with ``earlier``,
+    in a document of smaller doc_id. Blocks with an equal key and extent are alike:
+    all but their first are settled as they are (without ``earlier`` the first too),
+    and only the first goes on to the next round, where it stands for the others.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,19 +188,23 @@ def repeated(docs: DataFrame, plan: Plan, *, grouped: list[Column], again: Colum
     found = None
     for level, n in enumerate(plan.blocks):
         items = materialize(open_items(docs, plan, level, filters), f"windows-{n}")
-        last = level == len(plan.blocks) - 1
-        keys = ["k", "u"] if last else ["k"]
-        groups = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u1"), F.max("u").alias("u2"), *grouped)
-        groups = materialize(groups.filter(again), f"window-groups-{n}")
-        settled = groups if last else groups.filter("u1 = u2")
-        hit = items.join(settled.drop("u1", "u2"), keys).filter(removed).select("doc_id", "th", "p1", (F.col("p2") + plan.window).alias("p2"))
+        rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("r"))
+        alike = items.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.max("doc_id").alias("d2"))
+        alike = materialize(alike.select("k", "u", "n", F.col("first.d").alias("d1"), "d2", F.col("first.r").alias("r")), f"window-groups-{n}")
+        settled = alike.filter(F.col("d1") < F.col("d2")) if earlier else alike.filter("n > 1")
+        hit = items.select("doc_id", "th", "k", "u", "p1", "p2").join(settled.select("k", "u", "d1"), ["k", "u"])
+        hit = (hit.filter(F.col("doc_id") > F.col("d1")) if earlier else hit).select("doc_id", "th", "p1", (F.col("p2") + plan.window).alias("p2"))
         found = hit if found is None else found.unionByName(hit)
-        if not last:
-            rest = groups.filter("u1 <> u2").select("k")
-            count = rest.count()
-            if not count:
-                break
-            filters.append(spark.sparkContext.broadcast(sk.of_column(rest, "k", count, tasks)))
+        if level == len(plan.blocks) - 1:
+            break
+        left = alike.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("d1").alias("d1"), F.max("d2").alias("d2"))
+        left = left.filter((F.col("m") > 1) & (F.col("d1") < F.col("d2")) if earlier else F.col("m") > 1)
+        left = materialize(left.select("k"), f"window-open-{n}")
+        rest = materialize(alike.select("k", "r").join(left, "k", "left_semi").select("r"), f"window-rest-{n}")
+        count = rest.count()
+        if not count:
+            break
+        filters.append(spark.sparkContext.broadcast(sk.of_column(rest, "r", count, tasks)))
     return found
 
 
