@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orograph.plans import rasters, scoring
+from orograph.plans import rasters, records, regions, scaling, scoring
 
-MODULES = [scoring, rasters]
+MODULES = [scoring, rasters, scaling, regions, records]
 
 
 def queries() -> dict:
