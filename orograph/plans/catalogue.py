@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orograph.plans import rasters, records, regions, scaling, scoring
+from orograph.plans import rasters, records, regions, scaling, scoring, structures
 
-MODULES = [scoring, rasters, scaling, regions, records]
+MODULES = [scoring, rasters, scaling, regions, records, structures]
 
 
 def queries() -> dict:

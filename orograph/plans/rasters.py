@@ -182,9 +182,9 @@ def box_table(name: str, radius: int) -> str:
     return f"{name} AS (SELECT d, 1.0::DOUBLE / {2 * radius + 1} AS w FROM (SELECT unnest(range({-radius}, {radius + 1})) AS d))"
 
 
-def conv(out: str, src: str, value: str, table: str, index) -> str:
-    return f"""{out}_x AS (SELECT a.r, a.c, sum(k.w * b.v) AS v FROM (SELECT r, c FROM {src}) a CROSS JOIN {table} k JOIN (SELECT r, c, {value} AS v FROM {src}) b ON b.r = a.r AND b.c = {index('a.c + k.d', WIDTH)} GROUP BY ALL),
-{out} AS (SELECT a.r, a.c, sum(k.w * b.v) AS v FROM (SELECT r, c FROM {out}_x) a CROSS JOIN {table} k JOIN {out}_x b ON b.c = a.c AND b.r = {index('a.r + k.d', HEIGHT)} GROUP BY ALL)"""
+def conv(out: str, src: str, value: str, table: str, index, width: str = WIDTH, height: str = HEIGHT) -> str:
+    return f"""{out}_x AS (SELECT a.r, a.c, sum(k.w * b.v) AS v FROM (SELECT r, c FROM {src}) a CROSS JOIN {table} k JOIN (SELECT r, c, {value} AS v FROM {src}) b ON b.r = a.r AND b.c = {index('a.c + k.d', width)} GROUP BY ALL),
+{out} AS (SELECT a.r, a.c, sum(k.w * b.v) AS v FROM (SELECT r, c FROM {out}_x) a CROSS JOIN {table} k JOIN {out}_x b ON b.c = a.c AND b.r = {index('a.r + k.d', height)} GROUP BY ALL)"""
 
 
 def extreme(out: str, src: str, value: str, f: str, a: int, b: int) -> str:
@@ -192,10 +192,10 @@ def extreme(out: str, src: str, value: str, f: str, a: int, b: int) -> str:
 {out} AS (SELECT r, c, {f}(v) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS v FROM {out}_x)"""
 
 
-def rank_of(src: str, value: str, k: int, index: int) -> str:
+def rank_of(src: str, value: str, k: int, index: int, width: str = WIDTH, height: str = HEIGHT) -> str:
     h = k // 2
     return f"""SELECT a.scene, a.r, a.c, list_sort(list(b.v))[{index + 1}] AS v FROM {src} a CROSS JOIN (SELECT unnest(range({-h}, {k - h})) AS dr) x CROSS JOIN (SELECT unnest(range({-h}, {k - h})) AS dc) y
-JOIN (SELECT r, c, {value} AS v FROM {src}) b ON b.r = {clamped('a.r + dr', HEIGHT)} AND b.c = {clamped('a.c + dc', WIDTH)} GROUP BY ALL"""
+JOIN (SELECT r, c, {value} AS v FROM {src}) b ON b.r = {clamped('a.r + dr', height)} AND b.c = {clamped('a.c + dc', width)} GROUP BY ALL"""
 
 
 LUMA = "(0.2126::DOUBLE * red + 0.7152::DOUBLE * green + 0.0722::DOUBLE * blue)"

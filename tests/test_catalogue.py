@@ -32,7 +32,23 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_only_triangulation_has_no_sql():
+    assert set(QUERIES) - set(SQL) == {"earclip"}
+
+
+def test_triangles_cover_their_polygons(spark):
+    from orograph.plans.regions import _rings
+
+    rings = {r["id"]: r["ring"] for r in _rings(spark, DATA).collect()}
+    area = dict.fromkeys(rings, 0.0)
+    for t in QUERIES["earclip"](spark, DATA).collect():
+        p, q, s = (rings[t["id"]][t[k]] for k in "abc")
+        area[t["id"]] += abs((q.x - p.x) * (s.y - p.y) - (s.x - p.x) * (q.y - p.y)) / 2
+    for r in QUERIES["polygon_area"](spark, DATA).collect():
+        assert abs(area[r["id"]] - r["area"]) < 1e-6
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     got, want = plain(QUERIES[name](spark, DATA).toPandas()), plain(duck.sql(SQL[name]).df())
     assert list(got.columns) == list(want.columns)
