@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orograph.plans import rasters, records, regions, scaling, scoring, structures
+from orograph.plans import rasters, records, regions, scalars, scaling, scoring, structures
 
-MODULES = [scoring, rasters, scaling, regions, records, structures]
+MODULES = [scoring, rasters, scaling, regions, records, structures, scalars]
 
 
 def queries() -> dict:
