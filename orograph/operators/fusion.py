@@ -73,7 +73,9 @@ def confidence(px: DataFrame) -> DataFrame:
 def sanity(px: DataFrame, stride: int) -> DataFrame:
     """Whether a depth map is finite, varied and the right way up against luma (r < -0.3 means inverted)."""
     sample = F.when((F.col("r") * 64 + F.col("c")) % stride == 0, F.col("z"))
-    r = F.corr(F.when(sample.isNotNull(), F.col("luma")), sample)
+    luma = F.when(sample.isNotNull(), F.col("luma"))
+    spread = F.stddev_pop(luma) * F.stddev_pop(sample)
+    r = F.when(spread > 1e-12, F.covar_pop(luma, sample) / spread)
     return px.groupBy("scene").agg(F.avg(F.col("z").isNotNull().cast("double")).alias("finite"), (F.var_pop("z") < 1e-12).alias("flat"), r.alias("r"), (F.coalesce(r, F.lit(0.0)) < -0.3).alias("inverted"))
 
 

@@ -43,12 +43,12 @@ def metrics(px: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.percentile(F.abs("e"), F.lit(0.5)).alias("medae"), F.avg("e").alias("bias"),
         F.stddev_pop("e").alias("std"), F.percentile(F.abs("e"), F.lit(0.9)).alias("le90"), F.percentile("e", F.lit(0.5)).alias("_mid"),
         F.percentile(F.when(pair, F.col("ref")), F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.stddev_pop(F.when(pair, F.col("pred"))).alias("_sp"), F.stddev_pop(F.when(pair, F.col("ref"))).alias("_sr"),
-        F.corr(F.when(pair, F.col("pred")), F.when(pair, F.col("ref"))).alias("_r"), F.sum(F.col("e") * F.col("e")).alias("_sse"), F.var_pop(F.when(pair, F.col("ref"))).alias("_vr"),
+        F.covar_pop(F.when(pair, F.col("pred")), F.when(pair, F.col("ref"))).alias("_c"), F.sum(F.col("e") * F.col("e")).alias("_sse"), F.var_pop(F.when(pair, F.col("ref"))).alias("_vr"),
     )
     same = t.filter(pair).join(sums.select(*on, "_mid"), on)
     spread = same.groupBy(*on).agg((F.lit(MAD) * F.percentile(F.abs(F.col("e") - F.col("_mid")), F.lit(0.5))).alias("nmad"))
     out = sums.join(spread, on, "left")
-    r = F.when((F.col("_sp") > 1e-9) & (F.col("_sr") > 1e-9), F.col("_r"))
+    r = F.when((F.col("_sp") > 1e-9) & (F.col("_sr") > 1e-9), F.col("_c") / (F.col("_sp") * F.col("_sr")))
     wide = F.col("_q")[1] - F.col("_q")[0]
     cols = {
         "rmse": F.col("rmse"), "mae": F.col("mae"), "medae": F.col("medae"), "bias": F.col("bias"), "std": F.col("std"), "nmad": F.col("nmad"), "le90": F.col("le90"), "ref_range": wide, "r": r, "r2": r * r,
