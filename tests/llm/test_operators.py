@@ -367,11 +367,12 @@ def test_dense_region_is_searched_until_connected(spark, monkeypatch):
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per", [1000, 20])
+def test_components(spark, per):
     from orograph.llm.components import components
 
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (300, 200), (200, 250)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), len(links), per).collect()))
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 180)} == {100} and {got[i] for i in (200, 250, 300)} == {200}
 
 
