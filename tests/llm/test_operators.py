@@ -351,11 +351,10 @@ def test_near_duplicates(docs, no_docs, clashing, rows, size):
     assert near_duplicates(no_docs).count() == 0
 
 
-def test_dense_region_is_searched_until_connected(spark, monkeypatch):
-    """With one neighbour only, wider rounds must find what the first leaves apart."""
+def test_dense_region_is_searched_until_connected(spark):
+    """Wider rounds must find what direct neighbours leave apart."""
     from orograph.llm import minhash
 
-    monkeypatch.setattr(minhash, "TREES", 2)
     base = [f"w{i}" for i in range(400)]
     texts = []
     for i in range(120):
