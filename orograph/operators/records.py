@@ -91,7 +91,7 @@ def sampling_weights(tiles: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 def hash_order(key: Column) -> Column:
     """A fixed pseudo-random order of whole numbers."""
-    return (key * F.lit(2654435761)) % F.lit(4294967296)
+    return (key % F.lit(2147483648)) * F.lit(2654435761) % F.lit(4294967296)
 
 
 def stratified_points(px: DataFrame, cells: int, pct: float) -> DataFrame:
