@@ -10,12 +10,12 @@ builds each distinct part once and samples all its uses with arrays.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from orograph.llm.textnp import BYTE, Prefix, U, buffers, chunks, distinct, mix64
 from orograph.llm.vocab import SPACE, VOCABULARY, Trie, byte_ids, code_points, pieces, step, uniform
@@ -23,6 +23,8 @@ from orograph.llm.vocab import SPACE, VOCABULARY, Trie, byte_ids, code_points, p
 #: Stands for a space mark that the text itself has: no piece holds it, so its bytes are encoded.
 LITERAL = 0x110000
 ALPHA, LEAST = 5e-4, -40.0
+#: Bytes of text that a task spreads over lattices at a time.
+CHUNK = 1 << 20
 
 
 class Model:
@@ -45,12 +47,13 @@ class Model:
 class Lattice:
     """Edges of the parts' lattices, with each edge's share among those that end at its node."""
 
-    def __init__(self, model: Model, parts: list[str]):
-        cp, bounds = code_points(parts)
+    def __init__(self, model: Model, cp: np.ndarray, bounds: np.ndarray):
+        """``cp``, ``bounds``: the code points of all parts, and where each begins and ends."""
+        n_parts = len(bounds) - 1
         cp = np.where(cp == ord(SPACE), LITERAL, np.where(cp == ord(" "), ord(SPACE), cp))
         self.bounds = bounds
-        n_nodes = len(cp) + len(parts)
-        part = np.repeat(np.arange(len(parts)), np.diff(bounds))
+        n_nodes = len(cp) + n_parts
+        part = np.repeat(np.arange(n_parts), np.diff(bounds))
         at = np.arange(len(cp))
         node = at + part
         stop = bounds[1:][part]
@@ -76,7 +79,7 @@ class Lattice:
         order = np.argsort(end, kind="stable")
         self.start, self.end, self.token = start[order], end[order], token[order]
         weight = np.where(self.token >= 0, model.weight[np.maximum(self.token, 0)], LEAST)
-        self.last = bounds[1:] + np.arange(len(parts))
+        self.last = bounds[1:] + np.arange(n_parts)
         self._filter(weight, n_nodes, node, at - bounds[:-1][part])
 
     def _filter(self, weight, n_nodes, node, depth) -> None:
@@ -104,8 +107,12 @@ class Lattice:
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge that ends at each node, by the numbers ``u`` in [0, 1)."""
-        e = np.searchsorted(self.until, node + u, "right")
-        return np.clip(e, self.first[node], self.first[node + 1] - 1)
+        e, last, x = self.first[node], self.first[node + 1] - 1, node + u
+        on = np.flatnonzero((self.until[e] <= x) & (e < last))
+        while len(on):
+            e[on] += 1
+            on = on[(self.until[e[on]] <= x[on]) & (e[on] < last[on])]
+        return e
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -127,17 +134,29 @@ def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return out, offs, start, end, np.searchsorted(start, offs) if n else np.zeros(1, np.int64)
 
 
+def part_points(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of stretches of UTF-8, bounds)."""
+    n = end - start
+    stop = np.cumsum(n)
+    raw = buf[np.arange(int(n.sum())) + np.repeat(start - stop + n, n)]
+    lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    try:
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    except UnicodeDecodeError:  # bytes that are not UTF-8 are replaced, part by part
+        return code_points([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, end, strict=True)])
+    return points, lead[np.concatenate([[0], stop])]
+
+
 def sample(model: Model, texts: pa.Array, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, bounds): one segmentation of each text, drawn by its key."""
     buf, offs, start, end, bounds = units(texts)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     place, code = distinct(Prefix(BYTE[buf]).of(start, end))
-    parts = [buf[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in place]
-    lattice = Lattice(model, parts)
+    lattice = Lattice(model, *part_points(buf, start[place], end[place]))
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
     salt = mix64(mix64(keys[doc] + U(seed)) + (np.arange(len(start)) - bounds[doc]).astype(U))
-    node, base = lattice.last[code], (lattice.bounds[:-1] + np.arange(len(parts)))[code]
+    node, base = lattice.last[code], (lattice.bounds[:-1] + np.arange(len(place)))[code]
     alive, turn, uses, edges = np.arange(len(start)), 0, [], []
     while len(alive):
         e = lattice.draw(node[alive], uniform(mix64(salt[alive] + U(turn))))
@@ -172,6 +191,10 @@ def spell(model: Model, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[a + (b > a) : b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def row_keys(piece: pa.RecordBatch) -> np.ndarray:
+    return mix64(piece.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
+
+
 def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPHA, seed: int = 1) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), a sampled segmentation of ``text`` drawn by ``doc_id``.
 
@@ -185,9 +208,8 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in chunks(batch):
-                key = piece.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                ids, bounds = sample(model.value, piece.column("text"), mix64(key), seed)
+            for piece in chunks(batch, most=CHUNK):
+                ids, bounds = sample(model.value, piece.column("text"), row_keys(piece), seed)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=[*piece.schema.names, "ids"])
 
@@ -214,8 +236,26 @@ def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
     return base.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256, text_sha256, decoded_sha256 and lossless: each text encoded and decoded again."""
-    t = decode(encode(docs.select("doc_id", "text"), **options))
-    text = F.coalesce("text", F.lit(""))
-    return t.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(text, 256).alias("text_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (text == F.col("decoded")).alias("lossless"))
+DIGESTS = "doc_id long, n_pieces long, ids_sha256 string, text_sha256 string, decoded_sha256 string, lossless boolean"
+
+
+def round_trip(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPHA, seed: int = 1) -> DataFrame:
+    """doc_id, n_pieces, digests of ids (32-bit little-endian), text and decoded text, and lossless: each text encoded and decoded again.
+
+    Rows are as those of ``encode``; ids and texts stay in the task.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(Model(vocabulary, alpha))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, most=CHUNK):
+                ids, bounds = sample(model.value, piece.column("text"), row_keys(piece), seed)
+                raw = ids.astype("<i4")
+                buf, offs = buffers(piece.column("text"))
+                digests = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                texts = [hashlib.sha256(buf[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in spell(model.value, ids, bounds)]
+                same = [x == y for x, y in zip(texts, decoded, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "text_sha256", "decoded_sha256", "lossless"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)

@@ -31,7 +31,7 @@ def byte_ids(path: str) -> np.ndarray:
 
 
 class Trie:
-    """Nodes by number (0 the root); children found by binary search of (node, code point)."""
+    """Nodes by number (0 the root); children found in an open-addressed table of (node, code point)."""
 
     def __init__(self, words: list[tuple[str, int]], roots: int = 1):
         """``words``: (text, id), or (text, id, root) with more than one root."""
@@ -49,15 +49,36 @@ class Trie:
             self.token[node] = i
 
     def arrays(self) -> dict[str, np.ndarray]:
-        edges = sorted((n << 21 | ord(ch), to) for n, kids in enumerate(self.kids) for ch, to in kids.items())
-        return {"keys": np.array([k for k, _ in edges], np.int64), "to": np.array([t for _, t in edges], np.int64), "token": np.array(self.token, np.int64)}
+        edges = [(n << 21 | ord(ch), to) for n, kids in enumerate(self.kids) for ch, to in kids.items()]
+        size = 1 << max(4, int(np.ceil(np.log2(4 * len(edges) + 1))))
+        slots, child, reach = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int64), 1
+        for key, to in edges:
+            at = (key * SPREAD % (1 << 64)) >> (64 - (size.bit_length() - 1))
+            start = at
+            while slots[at] >= 0:
+                at += 1
+            slots[at], child[at], reach = key, to, max(reach, at - start + 1)
+        return {"keys": slots, "to": child, "reach": np.array(reach), "shift": np.array(64 - (size.bit_length() - 1)), "token": np.array(self.token, np.int64)}
+
+
+#: An odd multiplier that spreads keys over the table by their product's high bits.
+SPREAD = 0x9E3779B97F4A7C15
 
 
 def step(t: dict[str, np.ndarray], node: np.ndarray, cp: np.ndarray) -> np.ndarray:
     """The child of each node by a code point, or -1."""
     key = (node << 21) | cp
-    at = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
-    return np.where(t["keys"][at] == key, t["to"][at], -1)
+    at = ((key.astype(U) * U(SPREAD)) >> U(t["shift"])).astype(np.int64)
+    out, open_ = np.full(len(key), -1, np.int64), np.arange(len(key))
+    for _ in range(int(t["reach"])):
+        found = t["keys"][at]
+        hit = found == key
+        out[open_[hit]] = t["to"][at[hit]]
+        go = ~hit & (found >= 0)
+        if not go.any():
+            break
+        open_, key, at = open_[go], key[go], at[go] + 1
+    return out
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
