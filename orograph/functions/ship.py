@@ -10,10 +10,14 @@ from pyspark.sql import SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _shipped: set[str] = set()
+#: Rows of long texts go to Python in batches of at most this size, unless the session says otherwise.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources (some hundred KB) to the executors, once per application."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
