@@ -101,8 +101,11 @@ def measure(texts: pa.Array, sp) -> dict:
     return out
 
 
-def fertility(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the columns of SCHEMA added, chars_per_token and byte_share (columns of those names are replaced)."""
+def fertility(docs: DataFrame, vocabulary: str = VOCABULARY, inside: str | None = None) -> DataFrame:
+    """``docs`` with the columns of SCHEMA added, chars_per_token and byte_share (columns of those names are replaced).
+
+    ``inside``: the struct that holds the text, where it is not a column of its own.
+    """
     model = read_model(vocabulary)
     base = docs.drop(*COUNTS, *MEASURES, "script")
     names = [*COUNTS, "entropy", "script"]
@@ -111,9 +114,10 @@ def fertility(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        text = (lambda b: b.column(inside).field("text")) if inside else (lambda b: b.column("text"))
         for batch in batches:
-            for part in chunks(batch):
-                found = measure(part.column("text"), sp)
+            for part in chunks(batch, texts=text(batch)):
+                found = measure(text(part), sp)
                 extra = [pa.array(found[c], pa.string() if c == "script" else pa.float64() if c == "entropy" else pa.int64()) for c in names]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, *names])
 
@@ -179,5 +183,5 @@ def good_documents(docs: DataFrame, vocabulary: str = VOCABULARY, **options) ->
     columns = [c for c in ("text", "lang") if c in docs.columns]
     measured = materialize(with_group(fertility(docs.select(*columns), vocabulary)).drop("text"), "quality")
     bands = materialize(learn_bands(measured, **options), "quality-bands")
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *columns)
-    return judge(with_group(fertility(own, vocabulary)), bands).filter("kept").select("_row.*")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *[c for c in columns if c != "text"])
+    return judge(with_group(fertility(own, vocabulary, inside="_row")), bands).filter("kept").select("_row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -77,9 +77,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, most: int = CHUNK, texts: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, a row at least."""
-    _, offs = buffers(batch.column(column))
+    _, offs = buffers(batch.column("text") if texts is None else texts)
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
