@@ -28,6 +28,8 @@ from orograph.llm.textnp import BASE, BYTE, Prefix, U, Words, buffers, chunks, m
 SEGMENT = 1 << 22
 PLACE_BITS = 24
 BASE_2 = 0xA24BAED4963EE407
+#: Rows of four longs that may be broadcast (6 MB).
+MOST_BROADCAST = 200_000
 ITEMS = "doc_id long, th long, k long, u long, r long, p1 long, p2 long"
 
 
@@ -178,6 +180,7 @@ def repeated(docs: DataFrame, plan: Plan, *, earlier: bool) -> DataFrame:
     in a document of smaller doc_id. Blocks with an equal key and extent are alike:
     all but their first are settled as they are (without ``earlier`` the first too),
     and only the first goes on to the next round, where it stands for the others.
+    With ``earlier`` the first one's equals in doc_id are not settled and go on too.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -188,9 +191,10 @@ def repeated(docs: DataFrame, plan: Plan, *, earlier: bool) -> DataFrame:
     found = None
     for level, n in enumerate(plan.blocks):
         items = materialize(open_items(docs, plan, level, filters), f"windows-{n}")
-        rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("r"))
-        alike = items.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.max("doc_id").alias("d2"))
-        alike = materialize(alike.select("k", "u", "n", F.col("first.d").alias("d1"), "d2", F.col("first.r").alias("r")), f"window-groups-{n}")
+        d = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d")
+        alike = items.groupBy("k", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(d, "r")).alias("first"), F.min(F.struct(d, F.bitwise_not("r").alias("r"))).alias("last"), F.max("doc_id").alias("d2"))
+        alike = alike.select("k", "u", "n", F.col("first.d").alias("d1"), "d2", F.col("first.r").alias("r"), (F.col("first.r") != F.bitwise_not("last.r")).alias("twice"))
+        alike = materialize(alike, f"window-groups-{n}")
         settled = alike.filter(F.col("d1") < F.col("d2")) if earlier else alike.filter("n > 1")
         hit = items.select("doc_id", "th", "k", "u", "p1", "p2").join(settled.select("k", "u", "d1"), ["k", "u"])
         hit = (hit.filter(F.col("doc_id") > F.col("d1")) if earlier else hit).select("doc_id", "th", "p1", (F.col("p2") + plan.window).alias("p2"))
@@ -199,8 +203,17 @@ def repeated(docs: DataFrame, plan: Plan, *, earlier: bool) -> DataFrame:
             break
         left = alike.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("d1").alias("d1"), F.max("d2").alias("d2"))
         left = left.filter((F.col("m") > 1) & (F.col("d1") < F.col("d2")) if earlier else F.col("m") > 1)
-        left = materialize(left.select("k"), f"window-open-{n}")
-        rest = materialize(alike.select("k", "r").join(left, "k", "left_semi").select("r"), f"window-rest-{n}")
+        left = materialize(left.select("k", F.col("d1").alias("least")), f"window-open-{n}")
+        rest = alike.select("k", "r").join(left, "k", "left_semi").select("r")
+        if earlier:
+            # what an earlier document of the bucket removes from the first it also removes from its equals in doc_id
+            twice = alike.filter("twice").join(left, "k").filter("d1 > least").select("k", "u", F.col("d1").alias("doc_id"), F.col("r").alias("first"))
+            twice = materialize(twice, f"window-twice-{n}")
+            few = twice.count()
+            if few:
+                more = items.select("k", "u", "doc_id", "r").join(F.broadcast(twice) if few <= MOST_BROADCAST else twice, ["k", "u", "doc_id"])
+                rest = rest.unionByName(more.filter("r <> first").select("r"))
+        rest = materialize(rest, f"window-rest-{n}")
         count = rest.count()
         if not count:
             break

@@ -409,3 +409,43 @@ def test_a_sketch_loses_nothing(spark):
     got, bits = sketch.of_column(twice, "r", 400, 2)
     assert sketch.holds(got, bits, h[:300]).all()
     assert sketch.holds(got, bits, h[300:]).mean() < 0.05
+
+
+def removed_by_rule(rows, n=50):
+    """(doc_id, words removed) by brute force."""
+    first = {}
+    for d, t in rows:
+        w = split(t)
+        for i in range(len(w) - n + 1):
+            k = tuple(w[i : i + n])
+            first[k] = min(first.get(k, d), d)
+    want = []
+    for d, t in rows:
+        w = split(t)
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if first[tuple(w[i : i + n])] < d:
+                gone[i : i + n] = True
+        want.append((d, int(gone.sum())))
+    return want
+
+
+def test_passages_twice_in_a_document_lose_what_an_earlier_near_copy_has(spark):
+    from orograph.llm.substrings import drop_repeated_passages
+
+    rng = np.random.default_rng(4)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    rows = []
+    for i in range(0, 60, 6):
+        q = fresh(300)
+        near = list(q)
+        for at in (70, 150, 230):
+            near[at] = "changed"
+        part = fresh(300)
+        rows += [(i, " ".join(near)), (i + 1, " ".join(q + fresh(20) + q)), (i + 2, " ".join(part[:120])), (i + 3, " ".join(part + fresh(20) + part + fresh(5) + part))]
+        same_id = fresh(200)
+        rows += [(i + 4, " ".join(same_id[:90])), (i + 5, " ".join(same_id + fresh(10))), (i + 5, " ".join(fresh(10) + same_id))]
+    want = removed_by_rule(rows)
+    assert want[1][1] > 500
+    got = drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.select("doc_id", "n_removed"), want)
