@@ -12,6 +12,9 @@ The depth adapts to each region: where a prefix has more members than neighbours
 were looked at, and they are not yet one component, its rows are searched again one
 level deeper and eight times as wide, until no such region is left. There a row's
 candidate in a tree is the one of another component whose signature agrees best.
+These rounds only join quickly what is easily joined. Last, in every region of the
+least depth that is still not one component, all pairs of rows of different
+components are compared, block by block, and all that agree enough are confirmed.
 """
 
 from __future__ import annotations
@@ -194,6 +197,69 @@ def neighbours(rows: DataFrame, near: int, depth: int, tasks: int) -> DataFrame:
     return every.groupBy("a", "b").agg(F.sum("score").alias("score"), F.max("chain").alias("chain"))
 
 
+#: Rows of a block of a region, about; a task compares two blocks at a time.
+BLOCK = 4096
+#: Sketches compared at once, and candidates a batch.
+AT_ONCE = 1 << 16
+APART = "a long, b long, score int"
+
+
+def apart_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Every pair of rows (g, h, side, c, comp, sketch) of one group (g, h) and two components whose sketches agree enough for a link.
+
+    Rows are sorted by group. Groups with both sides are two blocks: only pairs across them.
+    """
+    if not rows.num_rows:
+        return
+    g, h, side, c, comp = (rows.column(k).to_numpy() for k in ("g", "h", "side", "c", "comp"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(c), -1)
+    new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))
+    group = np.cumsum(new) - 1
+    two = np.maximum.reduceat(side, np.flatnonzero(new))[group] > 0
+    at, d = np.arange(len(c)), 0
+    while len(at):
+        d += 1
+        at = at[: np.searchsorted(at, len(c) - d)]
+        at = at[group[at] == group[at + d]]
+        ok = at[(comp[at] != comp[at + d]) & (~two[at] | (side[at] != side[at + d]))]
+        for s in range(0, len(ok), AT_ONCE):
+            x = ok[s : s + AT_ONCE]
+            agree = (sketch[x] == sketch[x + d]).mean(1)
+            yes = agree >= LEAST_AGREEMENT
+            if yes.any():
+                x, agree = x[yes], agree[yes]
+                a, b = c[x], c[x + d]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((agree * 1000).astype(np.int32))], names=["a", "b", "score"])
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b, score) among all rows (region, n, c, comp, sketch) of a region with ``n`` rows.
+
+    A region is cut into blocks by a hash of the class; each pair of blocks is a group.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK)))
+    t = rows.withColumn("nb", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    t = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    i, j = F.least("i", "j"), F.greatest("i", "j")
+    t = t.select(F.col("region").alias("g"), (i.cast("long") * F.lit(1 << 31) + j).alias("h"), (F.col("i") > F.col("j")).cast("int").alias("side"), "c", "comp", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            g, h = table.column("g").to_numpy(), table.column("h").to_numpy()
+            last = int(np.argmax((g == g[-1]) & (h == h[-1])))
+            yield from apart_pairs(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None:
+            yield from apart_pairs(rest)
+
+    t = t.repartition("g", "h").sortWithinPartitions("g", "h").mapInArrow(run, APART)
+    return t.filter("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
 def sketches(classes: DataFrame) -> DataFrame:
     """(c, sketch): a byte of each of a class's minima."""
     n = TREES * DEPTH
@@ -260,6 +326,7 @@ class Linker:
         self.docs, self.classes, self.size, self.repeats = docs, classes, size, repeats
         self.links: DataFrame | None = None
         self.comp: DataFrame | None = None
+        self.tested: DataFrame | None = None
         self.n = 0
 
     @property
@@ -276,6 +343,8 @@ class Linker:
         n = pairs.count()
         if not n:
             return
+        pairs = pairs.select("a", "b")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
         ids = ids.join(self.classes.select("c", "first_doc"), "c")
         sets = shingle_sets(self.docs, ids, self.size, 2 * n <= MOST_BROADCAST, self.repeats)
@@ -297,7 +366,7 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, repeats: bo
     most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(most, classes.count() * TREES // 20_000))
     rows, sketch, dense = forest(classes).withColumn("comp", F.col("c")), sketches(classes), False
-    linker = Linker(docs, classes, size, repeats)
+    linker, least = Linker(docs, classes, size, repeats), depth
     while True:
         pairs = neighbours(rows, near, depth, tasks)
         pairs = materialize(pairs if dense else plausible(pairs, sketch), "candidates")
@@ -324,11 +393,38 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, repeats: bo
         crowded = materialize(crowded.filter((F.col("n") > near // 8 + 1) & (F.col("c1") < F.col("c2"))).select("region"), "dense")
         n = crowded.count()
         if not n:
-            return linker.comp
+            break
         rows = named.join(F.broadcast(crowded) if n <= MOST_BROADCAST else crowded, "region", "left_semi")
         rows = rows if dense else rows.join(sketch, "c").withColumn("key", F.concat("key", "sketch"))
         rows, dense = materialize(rows.select("tree", "key", "c", "comp"), "dense-rows"), True
         tasks = max(1, min(most, rows.count() // 20_000))
+    close(linker, forest(classes).withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * least))).select("region", "c"), sketch)
+    return linker.comp
+
+
+def close(linker: Linker, rows: DataFrame, sketch: DataFrame) -> None:
+    """Compare all that is still apart within a region (rows: region, c) and confirm what agrees enough."""
+    named = rows.withColumn("comp", F.col("c"))
+    if linker.comp is not None:
+        to = linker.comp.select(F.col("node").alias("c"), "comp")
+        named = rows.join(F.broadcast(to) if linker.few else to, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    split = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    split = materialize(split.filter("c1 < c2").select("region", "n"), "split-regions")
+    n = split.count()
+    if not n:
+        return
+    named = named.join(F.broadcast(split) if n <= MOST_BROADCAST // 4 else split, "region").join(sketch, "c")
+    pairs = all_pairs(named)
+    if linker.tested is not None:
+        pairs = pairs.join(linker.tested, ["a", "b"], "left_anti")
+    rest = materialize(linker.apart(pairs), "apart")
+    # the best of each two components first, then again among what that leaves apart, all that are left in the end
+    for _ in range(2):
+        first = rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b", "m.score")
+        linker.confirm(materialize(first, "best"))
+        rest = rest.select("a", "b", "score").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        rest = materialize(linker.apart(rest), "rest")
+    linker.confirm(rest)
 
 
 def grouped(docs: DataFrame, shingle: int) -> DataFrame:

@@ -449,3 +449,52 @@ def test_passages_twice_in_a_document_lose_what_an_earlier_near_copy_has(spark):
     assert want[1][1] > 500
     got = drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     same(got.select("doc_id", "n_removed"), want)
+
+
+def exact_components(sets):
+    """Smallest member of each component of pairs of similarity 0.8 and more, by exact comparison of all."""
+    to = list(range(len(sets)))
+
+    def root(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                to[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def test_links_within_a_family_of_many_components(spark):
+    """A template's documents are alike at 0.77 or so; some pairs among them are links."""
+    from orograph.llm import minhash
+
+    rng = np.random.default_rng(8)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    frame, texts = fresh(400), []
+    for _ in range(150):
+        own = fresh(56)
+        texts.append(frame + own)
+        texts.append(frame + own[:9] + fresh(47))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = exact_components(sets)
+    assert 100 < len(set(want)) < 250
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_all_pairs_of_a_region_are_compared(spark, monkeypatch, block):
+    from orograph.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = [(g, n, 1000 * g + i, 1000 * g + i % 5, bytes(192)) for g, n in enumerate((2, 3, 40, 61)) for i in range(n)]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3]}
+    df = spark.createDataFrame(rows, "region long, n long, c long, comp long, sketch binary")
+    got = [(r.a, r.b) for r in minhash.all_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
