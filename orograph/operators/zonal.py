@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -130,14 +133,69 @@ def faces(px: DataFrame, width: str = "w") -> DataFrame:
 
 
 def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
-    """Holes filled from the nearest valid pixel within ``radius``; ties to the smaller row, then column.
+    """Holes filled from the nearest valid pixel, however far; ties to the smaller row, then column.
 
-    Only pixels near a hole travel: each hole looks up the offsets of the disc by an equi-join.
+    Each hole looks up the offsets of the disc of ``radius`` by an equi-join, so only
+    pixels near a hole travel; holes that this leaves open go through ``farther``.
     """
     disc = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < i * i + j * j <= radius * radius]
     k = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d2")) for i, j in disc]))
-    holes = px.filter("z is null").select("scene", F.col("r").alias("hr"), F.col("c").alias("hc")).withColumn("k", k)
+    every = px.filter("z is null").select("scene", "r", "c")
+    holes = every.select("scene", F.col("r").alias("hr"), F.col("c").alias("hc")).withColumn("k", k)
     holes = holes.select("scene", "hr", "hc", (F.col("hr") + F.col("k.i")).alias("r"), (F.col("hc") + F.col("k.j")).alias("c"), F.col("k.d2").alias("d2"))
-    hit = holes.join(px.filter("z is not null").select("scene", "r", "c", "z"), ["scene", "r", "c"])
+    valid = px.filter("z is not null").select("scene", "r", "c", "z")
+    hit = holes.join(valid, ["scene", "r", "c"])
     best = hit.groupBy("scene", F.col("hr").alias("r"), F.col("hc").alias("c")).agg(F.min_by("z", F.struct("d2", F.col("r"), F.col("c"))).alias("_f"))
+    best = materialize(best, "filled")
+    rest = materialize(every.join(best, ["scene", "r", "c"], "left_anti"), "open-holes")
+    if rest.limit(1).count():
+        best = best.unionByName(farther(rest, valid))
     return px.join(best, ["scene", "r", "c"], "left").withColumn("z", F.coalesce("z", "_f")).drop("_f")
+
+
+def farther(holes: DataFrame, valid: DataFrame) -> DataFrame:
+    """(scene, r, c, _f) of ``holes``: z of the nearest pixel of ``valid``, if the scene has any.
+
+    Along each row with a valid pixel the nearest one to every column with a hole,
+    then along each of these columns the nearest of those.
+    """
+    grid = valid.select("scene", "r").distinct().join(holes.select("scene", "c").distinct(), "scene")
+    v = F.struct("c", F.col("z").cast("double").alias("z"))
+    t = valid.select("scene", "r", "c", v.alias("v"), F.lit(False).alias("probe"))
+    t = t.unionByName(grid.select("scene", "r", "c", F.lit(None).cast(t.schema["v"].dataType).alias("v"), F.lit(True).alias("probe")))
+    w = W.partitionBy("scene", "r").orderBy("c")
+    left = F.last("v", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+    right = F.first("v", ignorenulls=True).over(w.rangeBetween(W.currentRow, W.unboundedFollowing))
+    t = t.withColumn("a", left).withColumn("b", right).filter("probe")
+    far_a, far_b = F.col("c") - F.col("a.c"), F.col("b.c") - F.col("c")
+    near_a = F.col("b").isNull() | (far_a <= far_b)
+    t = t.select("scene", "r", "c", F.when(near_a, far_a).otherwise(far_b).cast("long").alias("g"), F.when(near_a, F.col("a.z")).otherwise(F.col("b.z")).alias("f"))
+    t = t.unionByName(holes.select("scene", "r", "c", F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("f")))
+
+    def column(group: pa.Table) -> pa.Table:
+        group = group.sort_by("r")
+        hole = pc.is_null(group.column("g")).to_numpy()
+        out, source = group.filter(pa.array(hole)), group.filter(pa.array(~hole))
+        at, r = out.column("r").to_numpy().astype(np.int64), source.column("r").to_numpy().astype(np.int64)
+        g, f = source.column("g").to_numpy(), source.column("f").to_numpy()
+        best, pick = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), -1)
+        # the k-th source above (at the hole's row, too), then the k-th below, until none can be nearer
+        for step, first in ((-1, np.searchsorted(r, at, "right") - 1), (1, np.searchsorted(r, at, "right"))):
+            i, x = np.arange(len(at)), first
+            while True:
+                ok = (x >= 0) & (x < len(r))
+                i, x = i[ok], x[ok]
+                across = (r[x] - at[i]) ** 2
+                ok = across <= best[i]
+                i, x, across = i[ok], x[ok], across[ok]
+                if not len(i):
+                    break
+                d2 = across + g[x] ** 2
+                up = (d2 < best[i]) | ((d2 == best[i]) & (r[x] < r[pick[i]]))
+                best[i[up]], pick[i[up]] = d2[up], x[up]
+                x = x + step
+        value = pa.array(f[pick] if len(r) else np.full(len(at), np.nan), pa.float64(), mask=pick < 0)
+        return pa.table({"scene": out.column("scene"), "r": out.column("r"), "c": out.column("c"), "_f": value})
+
+    kinds = ", ".join(f"{k} {holes.schema[k].dataType.simpleString()}" for k in ("scene", "r", "c"))
+    return t.groupBy("scene", "c").applyInArrow(column, f"{kinds}, _f double")

@@ -208,3 +208,25 @@ def test_holes_are_filled_from_the_nearest(spark):
     a = np.arange(25.0).reshape(5, 5)
     a[2, 2] = np.nan
     assert dense(zonal.nearest_fill(pixels(spark, a), 2), "z", a.shape)[2, 2] == a[1, 2]
+
+
+def test_wide_holes_are_filled_from_the_nearest_however_far(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(0, 1, (23, 31))
+    a[3:19, 4:25] = np.nan
+    a[20:, 28:] = np.nan
+    a[10, 14] = 9.0
+    rows, cols = np.nonzero(~np.isnan(a))
+    want = a.copy()
+    for r, c in zip(*np.nonzero(np.isnan(a)), strict=True):
+        k = np.lexsort((cols, rows, (rows - r) ** 2 + (cols - c) ** 2))[0]
+        want[r, c] = a[rows[k], cols[k]]
+    t = pixels(spark, a)
+    assert np.array_equal(dense(zonal.nearest_fill(t, 2), "z", a.shape), want)
+    sparse = t.filter("z is not null or (r = 9 and c = 8) or (r = 12 and c = 13)").filter("r > 11 or z is null")
+    got = {(x.r, x.c): x.z for x in zonal.nearest_fill(sparse, 2).collect()}
+    for r, c in ((9, 8), (12, 13)):
+        k = min((int((i - r) ** 2 + (j - c) ** 2), int(i), int(j)) for i, j in zip(rows, cols, strict=True) if i > 11)
+        assert got[r, c] == a[k[1], k[2]]
+    none = zonal.nearest_fill(pixels(spark, np.full((3, 9), np.nan)), 2)
+    assert none.filter("z is null").count() == 27
