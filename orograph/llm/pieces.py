@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orograph.llm.textnp import BYTE, Prefix, U, buffers, chunks, distinct, mix64
+from orograph.llm.textnp import U, buffers, chunks, distinct_stretches, mix64
 from orograph.llm.vocab import SPACE, VOCABULARY, Trie, byte_ids, code_points, pieces, step, uniform
 
 #: Stands for a space mark that the text itself has: no piece holds it, so its bytes are encoded.
@@ -100,14 +100,18 @@ class Lattice:
             z = np.add.reduceat(y, begin)
             total[to] = top + np.log(z)
             share[e] = y / np.repeat(z, n)
-        run = np.cumsum(share)
-        before = np.concatenate([[0.0], run])[first[self.end]]
-        self.until = np.minimum(run - before, 1.0) + self.end
-        self.first = first
+        # running shares within each node, so that a draw depends on its own part alone
+        self.until, self.first = share, first
+        size = np.diff(first)
+        at = first[:-1][size > 1] + 1
+        stop = first[1:][size > 1]
+        while len(at):
+            self.until[at] += self.until[at - 1]
+            at, stop = at[at + 1 < stop] + 1, stop[at + 1 < stop]
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge that ends at each node, by the numbers ``u`` in [0, 1)."""
-        e, last, x = self.first[node], self.first[node + 1] - 1, node + u
+        e, last, x = self.first[node], self.first[node + 1] - 1, u
         on = np.flatnonzero((self.until[e] <= x) & (e < last))
         while len(on):
             e[on] += 1
@@ -152,7 +156,7 @@ def sample(model: Model, texts: pa.Array, keys: np.ndarray, seed: int) -> tuple[
     buf, offs, start, end, bounds = units(texts)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    place, code = distinct(Prefix(BYTE[buf]).of(start, end))
+    place, code = distinct_stretches(buf, np.append(start, end[-1]))
     lattice = Lattice(model, *part_points(buf, start[place], end[place]))
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
     salt = mix64(mix64(keys[doc] + U(seed)) + (np.arange(len(start)) - bounds[doc]).astype(U))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.tables import materialize
-from orograph.llm.textnp import SPACE, Prefix, BYTE, Words, chunks, distinct, mix64, sums
+from orograph.llm.textnp import Words, chunks, distinct, distinct_stretches, sums
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = np.zeros(256, np.int64)
@@ -51,31 +51,33 @@ def measure(texts: pa.Array, sp) -> dict:
     n, doc = np.diff(w.bounds), w.doc
     out = {"n_words": n, "word_chars": sums(w.chars(), w.bounds), "n_symbols": sums(SYMBOLS[w.buf], w.offs)}
 
-    prefix = Prefix(BYTE[w.buf])
     cut = np.flatnonzero(w.buf == 0x0A)
     first = np.union1d(w.offs[:-1], cut + 1)
     first = first[first < len(w.buf)]
     last = np.append(first[1:], len(w.buf)) if len(first) else first
-    last = last - ((last > first) & (w.buf[last - 1] == 0x0A)) if len(first) else last
     owner = np.searchsorted(w.offs, first, "right") - 1
     full = np.searchsorted(w.start, last) > np.searchsorted(w.start, first)
-    line = (prefix.of(first, last) ^ mix64(owner.astype(np.uint64)))[full]
+    # a last line may lack the line feed: lines are compared without it
+    bare = w.buf != 0x0A
+    edge = np.concatenate([[0], np.cumsum(bare)])
+    _, line = distinct_stretches(w.buf[bare], edge[np.append(first, len(w.buf))] if len(first) else first)
+    line = (line * w.n_docs + owner)[full]
     again = np.ones(len(line), bool)
     again[distinct(line)[0]] = False
     out["n_dup_lines"] = np.bincount(owner[full], again, minlength=w.n_docs).astype(np.int64)
 
-    h = prefix.of(w.start, w.end)
-    covered = np.zeros(len(h), bool)
-    if len(h) > 2:
+    place, code = w.codes()
+    covered = np.zeros(len(code), bool)
+    if len(code) > 2:
         same = doc[2:] == doc[:-2]
-        three = mix64(mix64(mix64(h[:-2] + doc[:-2].astype(np.uint64)) + h[1:-1]) + h[2:])
+        _, two = distinct(code[:-1] * len(place) + code[1:])
+        _, three = distinct(two[:-1] * len(place) + code[2:])
         twice = np.zeros(len(three), bool)
-        twice[same] = repeated_within(three[same])
+        twice[same] = repeated_within((three * w.n_docs + doc[:-2])[same])
         for k in range(3):
-            covered[k : len(h) - 2 + k] |= twice
+            covered[k : len(code) - 2 + k] |= twice
     out["n_repeat_words"] = sums(covered.astype(np.int64), w.bounds)
 
-    place, code = distinct(h)
     ids = sp.encode([w.text(i).decode("utf-8", "replace") for i in place]) if len(place) else []
     size = np.array([len(x) for x in ids], np.int64)
     flat = np.fromiter((t for x in ids for t in x), np.int64, int(size.sum()))

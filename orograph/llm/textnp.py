@@ -22,20 +22,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A 64-bit value for each byte, and the base of the polynomial hashes with its inverse.
+#: A 64-bit value for each byte.
 BYTE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BASE = 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
+#: The prime 2**31 - 1, and pairs of bases: a hash is two polynomials modulo the prime, 62 bits together.
+PRIME = (1 << 31) - 1
+BASES = ((0x2F0B4A17, 0x5C1DE3F9), (0x6B8B4567, 0x327B23C6))
+
+
+def mod_prime(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2**31 - 1, for any 64-bit ``x``."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    x = (x & U(PRIME)) + (x >> U(31))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), U)
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
+    out = np.ones(max(n, 1), np.uint32)
     done = 1
     while done < n:
-        step = U(pow(base, done, 1 << 64))
         take = min(done, n - done)
-        out[done : done + take] = out[:take] * step
+        out[done : done + take] = mod_prime(out[:take].astype(U) * U(pow(base, done, PRIME)))
         done += take
     return out
 
@@ -50,17 +57,26 @@ def power_table(base: int, n: int) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of any stretch of a sequence of 64-bit values, from running sums modulo 2**64."""
+    """Hashes of any stretch of a sequence of 64-bit values, from running sums of two polynomials modulo a prime.
 
-    def __init__(self, values: np.ndarray, base: int = BASE):
+    With an even modulus constructible stretches collide whatever the base; a prime has none
+    that do not depend on it. ``seed`` picks another pair of bases.
+    """
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
         n = len(values)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * power_table(base, n + 1)[:n], out=self.sums[1:])
-        self.back = power_table(pow(base, -1, 1 << 64), n + 1)
+        self.sums, self.back = [], []
+        for base, part in zip(BASES[seed], (values & U(PRIME), values >> U(33)), strict=True):
+            run = np.zeros(n + 1, U)
+            term = part * power_table(base, n + 1)[:n]
+            np.cumsum((term & U(PRIME)) + (term >> U(31)), out=run[1:])
+            self.sums.append(run)
+            self.back.append(power_table(pow(base, -1, PRIME), n + 1))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal stretches have equal hashes, wherever they start."""
-        return mix64((self.sums[end] - self.sums[start]) * self.back[start])
+        one, two = (mod_prime(mod_prime(run[end] - run[start]) * back[start]) for run, back in zip(self.sums, self.back, strict=True))
+        return mix64(one | two << U(31))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +131,14 @@ class Words:
             return np.zeros(0, U)
         return Prefix(table[self.buf]).of(self.start, self.end)
 
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each distinct word's first use, number of the distinct word at each place), told apart by their bytes."""
+        inside = np.zeros(len(self.buf) + 1, np.int8)
+        inside[self.start] = 1
+        inside[self.end] -= 1
+        inside = np.cumsum(inside, dtype=np.int8)[:-1] > 0
+        return distinct_stretches(self.buf[inside], np.concatenate([[0], np.cumsum(self.end - self.start)]))
+
     def chars(self) -> np.ndarray:
         """Code points of each word."""
         lead = np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80)])
@@ -130,11 +154,27 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
+def distinct_stretches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first use, number) of each distinct stretch of bytes between neighbouring offsets; the bytes themselves are compared."""
+    n = len(offs) - 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = pa.large_binary() if offs[-1] >= 1 << 31 else pa.binary()
+    offs = np.ascontiguousarray(offs, np.int64 if kind == pa.large_binary() else np.int32)
+    found = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+    codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return first_uses(codes, len(found.dictionary)), codes
+
+
+def first_uses(codes: np.ndarray, n: int) -> np.ndarray:
+    first = np.zeros(n, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of each distinct key's first use, number of the distinct key at each place)."""
     import pandas as pd
 
     codes, found = pd.factorize(keys)
-    first = np.full(len(found), len(keys), np.int64)
-    np.minimum.at(first, codes, np.arange(len(keys)))
-    return first, codes
+    return first_uses(codes, len(found)), codes

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orograph.llm.textnp import Words, chunks, distinct, sums
+from orograph.llm.textnp import Words, chunks, sums
 from orograph.llm.vocab import SPACE, VOCABULARY, Trie, code_points, pieces, step
 
 START, GO_ON = 0, 1
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             for piece in chunks(batch):
                 w = Words(piece.column("text"))
-                place, code = distinct(w.hashes())
+                place, code = w.codes()
                 n = lengths(auto.value, [w.text(i).decode("utf-8", "replace") for i in place])
                 n = n[code] if len(code) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x) for x in (np.diff(w.bounds), sums(np.abs(n), w.bounds), sums((n < 0).astype(np.int64), w.bounds)))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])

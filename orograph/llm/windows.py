@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from orograph.functions.tables import materialize
 from orograph.llm import sketch as sk
-from orograph.llm.textnp import BASE, BYTE, Prefix, U, Words, buffers, chunks, mix64
+from orograph.llm.textnp import BYTE, Prefix, U, Words, buffers, chunks, mix64
 
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 PLACE_BITS = 24
-BASE_2 = 0xA24BAED4963EE407
+#: Of the hash by which anchors are chosen: any collision there chooses alike in equal windows.
+CHOICE = 0xD6E8FEB86659FD93
 #: Rows of four longs that may be broadcast (6 MB).
 MOST_BROADCAST = 200_000
 ITEMS = "doc_id long, th long, k long, u long, r long, p1 long, p2 long"
@@ -67,6 +68,18 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def rolling(values: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each gram modulo 2**64, good enough to choose by."""
+    out, done, power = values.copy(), 1, CHOICE
+    for bit in bin(gram)[3:]:
+        out = out[: len(out) - done] * U(power) + out[done:]
+        done, power = 2 * done, power * power % (1 << 64)
+        if bit == "1":
+            out = out[:-1] * U(CHOICE) + values[done : done + len(out) - 1]
+            done, power = done + 1, power * CHOICE % (1 << 64)
+    return mix64(out)
+
+
 class Segment:
     """Runs of windows with one anchor in a stretch of the concatenated documents."""
 
@@ -74,8 +87,7 @@ class Segment:
         self.values, self.plan = values, plan
         self.hash = Prefix(values)
         n = len(values) - plan.gram + 1
-        p = self.hash
-        grams = (p.sums[plan.gram :] - p.sums[:n]) * p.back[:n]
+        grams = rolling(values, plan.gram)
         place = np.arange(n, dtype=U)
         low = U((1 << PLACE_BITS) - 1)
         least = sliding_min((grams & ~low) | place, plan.places)[: len(valid)]
@@ -103,7 +115,7 @@ class Segment:
     def extents(self, a: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """A second hash, of all that the windows p1..p2 cover and where they lie."""
         if not hasattr(self, "hash_2"):
-            self.hash_2 = Prefix(self.values, BASE_2)
+            self.hash_2 = Prefix(self.values, 1)
         return mix64(self.hash_2.of(p1, p2 + self.plan.window) + mix64((a - p1) * (1 << 20) + (a - p2)))
 
 
