@@ -10,7 +10,7 @@ needs no confirming.
 
 The depth adapts to each region: where a prefix has more members than neighbours
 were looked at, and they are not yet one component, its rows are searched again one
-level deeper and eight times as wide, until no such region is left. There a row's
+level deeper and eight times as wide, up to 512 neighbours. There a row's
 candidate in a tree is the one of another component whose signature agrees best.
 These rounds only join quickly what is easily joined. Last, in every region of the
 least depth that is still not one component, all pairs of rows of different
@@ -32,6 +32,8 @@ from orograph.llm.components import components
 from orograph.llm.textnp import BYTE, U, Prefix, Words, chunks, mix64
 
 TREES, DEPTH, LEAST_DEPTH, NEAR = 16, 8, 3, 1
+#: Beyond so many neighbours a row's region is left to the comparison of all that is apart in it.
+MOST_NEAR = 512
 #: Minima beside those of the trees, of which one byte each is kept.
 MORE = 64
 THRESHOLD = (80, 100)
@@ -116,8 +118,8 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("c", "sig").mapInArrow(run, "tree int, key binary, c long")
 
 
-PAIRS = "a long, b long, score int, chain boolean, boundary int, place int, tree int, key binary, c long, comp long"
-KINDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int32()), ("chain", pa.bool_()), ("boundary", pa.int32()), ("place", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("c", pa.int64()), ("comp", pa.int64())])
+PAIRS = "a long, b long, score int, chain boolean, part int, place int, tree int, key binary, c long, comp long"
+KINDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int32()), ("chain", pa.bool_()), ("part", pa.int32()), ("place", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("c", pa.int64()), ("comp", pa.int64())])
 
 
 def near_pairs(rows, near: int, depth: int, split: int | None = None) -> pa.RecordBatch:
@@ -158,16 +160,23 @@ def near_pairs(rows, near: int, depth: int, split: int | None = None) -> pa.Reco
 def neighbours(rows: DataFrame, near: int, depth: int, tasks: int) -> DataFrame:
     """Candidate pairs (a, b, score, chain) of forest rows (tree, key, c, comp); chain: of the first tree.
 
-    A range partition holds a stretch of the order. Its first and last rows also meet
-    those of the next partition in a group of at most twice ``near`` rows.
+    A range partition holds a stretch of the order. Its last rows also meet the rows
+    that follow them, in a group of at most twice ``near`` rows for each partition's end;
+    those may lie several short partitions on, which the partitions' row counts tell.
     """
 
+    def edge(part: int, places: np.ndarray, rows: pa.Table | None) -> pa.RecordBatch:
+        n = len(places)
+        own = [rows.column(k).combine_chunks() for k in ("tree", "key", "c", "comp")] if rows is not None else [pa.nulls(n, f.type) for f in list(KINDS)[6:]]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.full(n, part, np.int32)), pa.array(places.astype(np.int32)), *own], schema=KINDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, n = TaskContext.get().partitionId(), 0
         tail, head = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
+            n += batch.num_rows
             if sum(x.num_rows for x in head) < near:
                 head.append(batch.slice(0, near))
             for at in range(0, batch.num_rows, 1 << 16):
@@ -178,22 +187,32 @@ def neighbours(rows: DataFrame, near: int, depth: int, tasks: int) -> DataFrame:
         if tail is None:
             return
         first = pa.Table.from_batches(head).slice(0, near)
-        for side, boundary, table in ((1, part - 1, first), (0, part, pa.Table.from_batches([tail]))):
-            n = table.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.full(n, boundary, np.int32)), pa.array(np.arange(n, dtype=np.int32) + side * near), *(table.column(k).combine_chunks() for k in ("tree", "key", "c", "comp"))], schema=KINDS
-            )
+        yield edge(part, np.arange(first.num_rows), first)
+        yield edge(part, np.arange(-tail.num_rows, 0), pa.Table.from_batches([tail]))
+        yield edge(part, np.array([n]), None)
 
     def across(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
-        split = int(np.searchsorted(group.column("place").to_numpy(), near))
+        split = int(np.searchsorted(group.column("place").to_numpy(), 0))
         return pa.Table.from_batches([near_pairs(group, near, depth, split)]).select(["a", "b", "score", "chain"])
 
     order = rows.repartitionByRange(tasks, "tree", "key", "c").sortWithinPartitions("tree", "key", "c")
     both = materialize(order.mapInArrow(run, PAIRS), "neighbours")
     inner = both.filter("a is not null").select("a", "b", "score", "chain")
-    edge = both.filter("boundary is not null").groupBy("boundary").applyInArrow(across, "a long, b long, score int, chain boolean")
-    every = inner.unionByName(edge).filter("a <> b")
+    # a row a partition: which ends of partitions before it its first rows are near to, and how far on
+    sizes = sorted((r["part"], r["place"]) for r in both.filter("part is not null and c is null").select("part", "place").collect())
+    reach = []
+    for i, (part, _) in enumerate(sizes):
+        back, j = 0, i - 1
+        while j >= 0 and back < near:
+            reach.append((part, sizes[j][0], back))
+            back, j = back + sizes[j][1], j - 1
+    columns = ["tree", "key", "c", "comp"]
+    tails = both.filter("c is not null and place < 0").select(F.col("part").alias("after"), "place", *columns)
+    heads = both.filter("c is not null and place >= 0").join(F.broadcast(rows.sparkSession.createDataFrame(reach, "part int, after int, back int")), "part")
+    heads = heads.withColumn("place", F.col("place") + F.col("back")).filter(F.col("place") < near).select("after", "place", *columns)
+    edges = tails.unionByName(heads).groupBy("after").applyInArrow(across, "a long, b long, score int, chain boolean")
+    every = inner.unionByName(edges).filter("a <> b")
     return every.groupBy("a", "b").agg(F.sum("score").alias("score"), F.max("chain").alias("chain"))
 
 
@@ -367,7 +386,7 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, repeats: bo
     tasks = max(1, min(most, classes.count() * TREES // 20_000))
     rows, sketch, dense = forest(classes).withColumn("comp", F.col("c")), sketches(classes), False
     linker, least = Linker(docs, classes, size, repeats), depth
-    while True:
+    while near <= MOST_NEAR:
         pairs = neighbours(rows, near, depth, tasks)
         pairs = materialize(pairs if dense else plausible(pairs, sketch), "candidates")
         n = pairs.count()
@@ -451,7 +470,8 @@ KEPT = "component_id IS NULL OR doc_id <=> component_id"
 def near_duplicates(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
-    component_id is the smallest doc_id that confirmed links reach; a document of
+    component_id is the smallest doc_id that confirmed links reach, so ties of equal
+    texts go to the smallest; texts of any length are taken whole; a document of
     fewer words than a shingle has its whole sequence as the only one. Null, empty
     and blank texts have no shingles and no links. Rows without doc_id link others
     only through their class and get their component's id; one without any is kept
@@ -461,15 +481,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, *, shingle: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One document of each group of near-duplicates, with its own columns: the one of the smallest doc_id.
+    """One document of each group of near-duplicates, with its own columns, whatever their names: the one of the smallest doc_id.
 
-    Rows that repeat a doc_id and its text leave one. The rows to drop (16 bytes
+    Null, empty and long texts and an empty table are as in ``near_duplicates``. Rows that repeat a doc_id and its text leave one. The rows to drop (16 bytes
     each) are broadcast up to ``most_broadcast``, beyond that texts are shuffled to them.
     """
     found = materialize(grouped(docs, shingle), "near-groups")
-    drop = materialize(found.filter(f"NOT ({KEPT})").select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t")).distinct(), "near-drop")
+    drop = materialize(found.filter(f"NOT ({KEPT})").select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("th").alias("t")).distinct(), "near-drop")
     drop = F.broadcast(drop) if drop.count() <= most_broadcast else drop
-    on = (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("doc_id").isNull() == F.col("_n")) & (F.xxhash64("text") == F.col("_t"))
-    left = docs.join(drop, on, "left_anti")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    doc, text = F.col("_row.doc_id"), F.col("_row.text")
+    on = (F.coalesce(doc, F.lit(0)) == F.col("d")) & (doc.isNull() == F.col("n")) & (F.xxhash64(text) == F.col("t"))
+    left = rows.join(drop, on, "left_anti")
     twice = found.filter(KEPT).filter("n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if twice else left
+    if twice:
+        left = left.select("_row", doc.alias("d"), text.alias("t")).dropDuplicates(["d", "t"])
+    return left.select("_row.*")

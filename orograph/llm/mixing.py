@@ -3,7 +3,7 @@
 Every row gets a hash-random key. The keys are uniform, so equal key ranges are
 equal shares of a source: sums per (source, key range) are pre-aggregated, their
 running totals per source are the distributed prefix sums, and only the one range
-that holds a source's cut is sorted row by row. What comes out is a table of one
+that holds a source's cut is divided further, down to a single key. What comes out is a table of one
 row per source; a row's share of the mix follows from its own key alone, so texts
 are never shuffled.
 """
@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from orograph.functions.tables import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-KEY_BITS, RANGE_BITS = 60, 12
+#: Bits of a key, and of each step by which a cut is closed in on: a source has 2**15 ranges a step.
+KEY_BITS, RANGE_BITS = 60, 15
+#: Sources (rows of a plan) that may be broadcast.
+MOST_BROADCAST = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -60,29 +63,35 @@ def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), ratio: fl
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     sized = materialize(sized, "mix-sizes")
-    shift = KEY_BITS - RANGE_BITS
-    ranged = sized.withColumn("range", F.shiftright("key", shift))
-    ranges = materialize(ranged.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
+    def ranged(rows: DataFrame, level: int) -> DataFrame:
+        at = F.shiftright("key", KEY_BITS - RANGE_BITS * (level + 1)).alias("range")
+        return rows.groupBy("source", at).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+
+    ranges = materialize(ranged(sized, 0), "mix-ranges")
     sums = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     t = source_targets(sums, weights, ratio, cap)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     t = materialize(t.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-targets")
+    n_sources = t.count()
+    # the range that holds a source's cut is cut again, until a range is one key
     order = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = ranges.withColumn("until", F.sum("words").over(order)).alias("r").join(t.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    at = at.filter((F.col("until") > F.col("rest")) & (F.col("until") - F.col("words") <= F.col("rest")))
-    at = at.select("r.source", "range", (F.col("rest") - F.col("until") + F.col("words")).alias("left"))
-    near = ranged.alias("d").join(at.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.range") == F.col("a.range")))
-    near = near.groupBy("d.source", "key", "left").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
-    order = W.partitionBy("source").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = near.withColumn("until", F.sum("words").over(order))
-    near = near.filter((F.col("until") > F.col("left")) & (F.col("until") - F.col("words") <= F.col("left")))
-    cut = near.select("source", F.col("key").alias("cut_key"), F.floor((F.col("left") - F.col("until") + F.col("words")) / F.col("rows")).cast("long").alias("cut_take"))
+    rows, cut = sized.select("source", "size", "key"), t.select("source", F.col("rest").alias("left"))
+    for level in range(KEY_BITS // RANGE_BITS):
+        at = (ranged(rows, level) if level else ranges).withColumn("until", F.sum("words").over(order))
+        at = at.alias("r").join(cut.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+        at = at.filter((F.col("until") > F.col("left")) & (F.col("until") - F.col("words") <= F.col("left")))
+        cut = materialize(at.select("r.source", "r.range", "r.rows", (F.col("t.left") - F.col("until") + F.col("words")).alias("left")), f"mix-cut-{level}")
+        if level + 1 < KEY_BITS // RANGE_BITS:
+            side = F.broadcast(cut) if n_sources <= MOST_BROADCAST else cut
+            inside = F.col("d.source").eqNullSafe(F.col("a.source")) & (F.shiftright("d.key", KEY_BITS - RANGE_BITS * (level + 1)) == F.col("a.range"))
+            rows = materialize(rows.alias("d").join(side.alias("a"), inside).select("d.*"), f"mix-rows-{level}")
+    cut = cut.select("source", F.col("range").alias("cut_key"), F.floor(F.col("left") / F.col("rows")).cast("long").alias("cut_take"))
     plan = t.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
     plan = plan.select("t.source", "source_size", "target", "epochs", F.coalesce("cut_key", F.lit(-1)).alias("cut_key"), F.coalesce("cut_take", F.lit(0)).alias("cut_take"))
     return sized, materialize(plan, "mix-plan")
 
 
-def with_taken(sized: DataFrame, plan: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+def with_taken(sized: DataFrame, plan: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Join each row's source plan and add ``taken``; the plan is broadcast only if it is short."""
     p = plan.withColumnRenamed("source", "_source")
     p = F.broadcast(p) if plan.count() <= most_broadcast else p
@@ -94,23 +103,36 @@ def with_taken(sized: DataFrame, plan: DataFrame, most_broadcast: int = 100_000)
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``.
 
-    Null texts have size 0; null sources are one source, the last; rows without
-    doc_id or with equal ids share a key and divide the cut evenly; an empty table
-    gives no rows; further columns are ignored.
+    Null and empty texts have size 0; a text of any length is counted whole; null sources are one source, the last; rows
+    without doc_id, repeated rows and others of equal id tie: they share a key and divide the cut evenly;
+    an empty table gives no rows; further columns are ignored.
     """
     sized, plan = plan_mix(docs, **options)
     return with_taken(sized, plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row per whole copy taken, and the cut document up to its cut (its words joined by one space)."""
+    """The mix itself, with the columns of ``docs``: a row per whole copy taken, and the cut document up to its cut (its words joined by one space).
+
+    A column n_chars follows a cut text; all others, whatever their names, are carried
+    as they are. Nulls, ties, long texts, repeated rows and an empty table are as in ``mix``.
+    """
     _, plan = plan_mix(docs, **options)
-    seed = options.get("seed", 7)
-    rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("key", random_key(F.col("doc_id"), seed))
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(own, "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), options.get("seed", 7)).alias("key"))
     rows = with_taken(rows, plan).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = (F.col("taken") % F.col("size")).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, part), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
-    others = [c for c in docs.columns if c != "text"]
-    return rows.select(*others, F.explode(texts).alias("text")).select(*docs.columns)
+    text = F.col("_row.text")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, part), " ")
+    texts = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+    out = rows.select("_row", F.explode(texts).alias("_text")).withColumn("_row", with_text(F.col("_row"), F.col("_text"), docs.columns))
+    return out.select("_row.*")
+
+
+def with_text(row: Column, text: Column, columns: list[str]) -> Column:
+    """A struct of a row with another text, and n_chars to match where the text is another and the column is there."""
+    out = row.withField("text", text)
+    if "n_chars" in columns:
+        out = out.withField("n_chars", F.when(row["text"].eqNullSafe(text), row["n_chars"]).otherwise(F.length(text)))
+    return out

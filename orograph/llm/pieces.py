@@ -203,7 +203,8 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPH
     """``docs`` with ``ids`` (array<int>), a sampled segmentation of ``text`` drawn by ``doc_id``.
 
     A way's weight is the product of its pieces' exp(alpha * score). Null and empty
-    texts have no ids; rows of equal id and text get equal ids; rows without doc_id
+    texts have no ids; texts of any length are encoded whole; a tie of draw and share goes
+    to the next piece; rows of equal id and text get equal ids; rows without doc_id
     share one key; an empty table gives no rows; other columns pass through (one
     named ids is replaced).
     """

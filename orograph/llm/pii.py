@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.tables import materialize
+from orograph.llm.mixing import with_text
 
 MARK, OTHER = "\x01", "\x02"
 BASE = ["email", "ip", "card", "phone"]
@@ -246,7 +247,8 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, digest of base spans, all spans, and the number of added ones.
 
-    Null and empty texts have no spans; equal rows get equal spans; an empty table
+    Null and empty texts have no spans; a text of any length is read whole; equal rows
+    get equal spans; of spans of one kind the leftmost stands, an added span gives way to a base one; an empty table
     gives no rows (and nothing to train on); further columns are ignored. A text
     that holds the mark character (U+0001) is read as if it held U+0002, which no
     pattern matches either.
@@ -260,17 +262,25 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; texts without spans, and null texts, stay as they are."""
-    spanned = materialize(with_spans(docs.select("text")).drop("text"), "pii")
-    rows = counts(spanned)
-    _, _, post = reliabilities(rows)
-    t = with_spans(docs).withColumn("_spans", F.array_sort(F.transform(F.concat("_base", accepted(train(rows, post))), lambda x: F.struct(x["start"], x["end"], x["kind"]))))
+    """``docs`` with every span replaced by its kind in brackets; n_chars follows, all other columns are carried as they are.
+
+    Texts without spans, empty and null ones stay as they are; a text of any length is
+    read whole; of spans that overlap the one that starts first is replaced; equal rows
+    get equal texts; an empty table gives no rows. Rows are written once beside their
+    spans, so each text is searched once.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
+    spanned = materialize(with_spans(rows).drop("text"), "pii-rows")
+    found = counts(spanned)
+    _, _, post = reliabilities(found)
+    t = spanned.withColumn("_spans", F.array_sort(F.transform(F.concat("_base", accepted(train(found, post))), lambda x: F.struct(x["start"], x["end"], x["kind"]))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    text = F.col("_row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, x):
-        put = F.concat(acc["done"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
+        put = F.concat(acc["done"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["done"]).alias("done"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring("text", acc["at"] + 1, 2**31 - 1)))
-    return t.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, 2**31 - 1)))
+    return t.withColumn("_row", F.when(F.size("_spans") > 0, with_text(F.col("_row"), clean, docs.columns)).otherwise(F.col("_row"))).select("_row.*")

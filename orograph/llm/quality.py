@@ -3,8 +3,8 @@
 A public SentencePiece vocabulary splits every distinct word of a batch once;
 per document that gives characters per token, the share of byte-fallback tokens and
 the entropy of its tokens. Bands come from the corpus: quartiles of every document's
-values per language (per script where no language is given), widened by a multiple
-of their distance. A document outside a band is rejected.
+values per language (per script where no language is given) and length class, widened
+by a multiple of their distance. A document outside a band is rejected.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BYTE_IDS = (3, 259)
 LEAST_WORDS = 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens"]
 MEASURES = ["chars_per_token", "byte_share", "entropy"]
+#: The least distance of quartiles that bands are built from.
+FLOORS = {"chars_per_token": 0.01, "byte_share": 0.01, "entropy": 0.005}
 SCHEMA = "".join(f"{c} long, " for c in COUNTS) + "entropy double, script string"
 #: The script that a UTF-8 lead byte mostly begins, as (first, last, name).
 LEADS = [(0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC3, 0xCA, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD3, "cyrillic"), (0xD6, 0xD7, "hebrew"), (0xD8, 0xDB, "arabic"), (0xE0, 0xE1, "indic"), (0xE3, 0xE3, "kana"), (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul")]
@@ -132,58 +134,67 @@ def fertility(docs: DataFrame, vocabulary: str = VOCABULARY, inside: str | None
 def with_group(measured: DataFrame) -> DataFrame:
     lang = F.lower(F.trim("lang")) if "lang" in measured.columns else F.lit(None).cast("string")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    measured = measured.withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))).cast("int"))
     return measured.withColumn("band", F.when(F.length(lang) > 0, lang).otherwise(F.concat(F.lit("script:"), F.col("script")))).withColumn("base_failed", base)
 
 
-def learn_bands(measured: DataFrame, *, reach: float = 4.0, least: float = 0.02, noise: float = 1.0) -> DataFrame:
-    """One row per language or script: band, and the lower and upper limit of each measure.
+def learn_bands(measured: DataFrame, *, reach: float = 2.5, least_docs: int = 100, wide: float = 4.0, noise: float = 1.0) -> DataFrame:
+    """One row per band (language or script) and length class (the power of two of a document's tokens): the limits of each measure.
 
-    A limit is moved out further by noise over the root of a document's words: what
-    chance does to the measures of short texts.
-
-    Limits are the quartiles over all documents that pass the base rules, moved out
-    by ``reach`` times their distance (by ``least`` of the median at the least), so
-    that ordinary documents stay inside whatever the language's fertility is.
+    Limits are the quartiles over all documents of the cell that pass the base rules,
+    moved out by ``reach`` times their distance (``FLOORS`` at the least). Chance moves
+    short texts further than long ones, hence the length classes. A cell of under
+    ``least_docs`` documents takes its band's limits over all lengths, moved out by
+    ``wide`` distances and by ``noise`` times the median over the root of the shortest length's words.
     """
-    rows = measured.filter("not base_failed").groupBy("band").agg(*[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES])
-    out = ["band"]
+    good = measured.filter("not base_failed")
+    stats = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
+    cells = good.groupBy("band", "length_class").agg(F.count(F.lit(1)).alias("n"), *stats)
+    whole = good.groupBy("band").agg(*[x.alias(f"all_{m}") for x, m in zip(stats, MEASURES, strict=True)])
+    t, out = cells.join(whole, "band"), ["band", "length_class", "n"]
     for m in MEASURES:
-        q1, q2, q3 = (F.col(m)[k] for k in range(3))
-        wide = F.lit(reach) * F.greatest(q3 - q1, F.lit(least) * F.abs(q2), F.lit(0.005))
-        out += [(q1 - wide).alias(f"low_{m}"), (q3 + wide).alias(f"high_{m}"), (F.lit(noise) * F.greatest(F.abs(q2), F.lit(0.5))).alias(f"noise_{m}")]
-    return rows.select(*out)
+        own = F.col("n") >= least_docs
+        q = F.when(own, F.col(m)).otherwise(F.col(f"all_{m}"))
+        room = F.when(own, F.lit(reach)).otherwise(F.lit(wide)) * F.greatest(q[2] - q[0], F.lit(FLOORS[m]))
+        room = room + F.when(own, F.lit(0.0)).otherwise(F.lit(noise) * F.greatest(F.abs(q[1]), F.lit(0.5)) / F.sqrt(F.greatest(F.pow(F.lit(2.0), "length_class") / 4, F.lit(1.0))))
+        out += [(q[0] - room).alias(f"low_{m}"), (q[2] + room).alias(f"high_{m}")]
+    return t.select(*out)
 
 
 def judge(measured: DataFrame, bands: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
-    """Add ``kept``: the base rules pass and every measure is inside its band.
+    """Add ``rejected_by`` (the measures outside their bands, or null) and ``kept``: the base rules pass and none is.
 
-    The bands (a row per language) are broadcast if they are few, else joined by a
-    shuffle. Documents of a band without limits are judged by the base rules alone.
+    The bands (a row per language and power of two) are broadcast if they are few,
+    else joined by a shuffle.
     """
     b = F.broadcast(bands) if bands.count() <= most_broadcast else bands
-    inside = F.lit(True)
-    for m in MEASURES:
-        more = F.col(f"noise_{m}") / F.sqrt(F.greatest("n_words", F.lit(1)))
-        inside = inside & F.coalesce(F.col(m).between(F.col(f"low_{m}") - more, F.col(f"high_{m}") + more), F.lit(True))
-    return measured.join(b, "band", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    by = F.concat_ws(",", *[F.when((F.col(m) < F.col(f"low_{m}")) | (F.col(m) > F.col(f"high_{m}")), F.lit(m)) for m in MEASURES])
+    by = F.when(by != "", by)
+    t = measured.join(b, ["band", "length_class"], "left").withColumn("rejected_by", by)
+    return t.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
 def quality(docs: DataFrame, vocabulary: str = VOCABULARY, **options) -> DataFrame:
     """A row per document with its counts, measures and verdict.
 
-    Null and empty texts have no words and fail the base rules; equal rows get
-    equal verdicts; an empty table gives no rows; further columns are ignored.
+    Null and empty texts have no words and fail the base rules; a text of any length
+    is measured whole, by the task that holds it; equal rows get equal verdicts, and a
+    value on a limit is inside; an empty table gives no rows; further columns are ignored.
     """
     columns = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
     measured = materialize(with_group(fertility(docs.select(*columns), vocabulary)).drop("text"), "quality")
     bands = materialize(learn_bands(measured, **options), "quality-bands")
-    return judge(measured, bands).select("doc_id", *COUNTS[:5], "base_failed", "kept", *MEASURES, "band")
+    return judge(measured, bands).select("doc_id", *COUNTS[:5], "base_failed", "kept", *MEASURES, "band", "rejected_by")
 
 
 def good_documents(docs: DataFrame, vocabulary: str = VOCABULARY, **options) -> DataFrame:
-    """The documents that pass, with their own columns; texts are measured again instead of shuffled."""
-    columns = [c for c in ("text", "lang") if c in docs.columns]
-    measured = materialize(with_group(fertility(docs.select(*columns), vocabulary)).drop("text"), "quality")
+    """The documents that pass, with their own columns, whatever their names.
+
+    Rows are written once beside their measures, so texts are measured once and never
+    shuffled. Null, empty and long texts, equal rows and an empty table are as in ``quality``.
+    """
+    columns = [c for c in docs.columns if c == "lang"]
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *columns)
+    measured = materialize(with_group(fertility(own, vocabulary, inside="_row")), "quality-rows")
     bands = materialize(learn_bands(measured, **options), "quality-bands")
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *[c for c in columns if c != "text"])
-    return judge(with_group(fertility(own, vocabulary, inside="_row")), bands).filter("kept").select("_row.*")
+    return judge(measured, bands).filter("kept").select("_row.*")

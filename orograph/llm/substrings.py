@@ -24,7 +24,7 @@ def drop_repeated_passages(docs: DataFrame, *, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space).
 
     A word goes if a window over it also starts in a document of smaller doc_id.
-    Null and empty texts have no words. A row without doc_id is no one's earlier
+    Null and empty texts have no words; a text of any length is one document. A row without doc_id is no one's earlier
     document and keeps its words; rows of equal doc_id don't count as earlier for
     each other. An empty table gives no rows; further columns are ignored.
     """

@@ -27,8 +27,8 @@ def drop_repeated_bytes(docs: DataFrame, *, window: int = 400, gram: int = 64) -
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, concatenated).
 
     A byte goes if a window over it also starts anywhere else, in the same
-    document or another row, repeated rows included. Null and empty texts have no
-    bytes. An empty table gives no rows; further columns are ignored.
+    document or another row, repeated rows included; strings that tie all go. Null and empty
+    texts have no bytes; a text of any length is one document. An empty table gives no rows; further columns are ignored.
     """
     plan = Plan("byte", window, min(gram, window), (1 << 10, 32, 1))
     t = hashed(docs)

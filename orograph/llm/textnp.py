@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +95,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release() -> None:
+    """Give memory that a finished batch has used back to the machine: workers outlive their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, most: int = CHUNK, texts: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, a row at least."""
     _, offs = buffers(batch.column("text") if texts is None else texts)
@@ -101,6 +110,7 @@ def chunks(batch: pa.RecordBatch, most: int = CHUNK, texts: pa.Array | None = No
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    release()
 
 
 class Words:

@@ -82,7 +82,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every row.
 
     Words are split at the six ASCII white spaces. A word that greedy matching can't
-    finish is one unknown token. Null, empty and blank texts have no words; equal
+    finish is one unknown token. Null, empty and blank texts have no words; texts and words of any length
+    are walked whole; the longest piece has no tie; equal
     rows get equal counts; an empty table gives no rows; further columns are ignored.
     """
     auto = docs.sparkSession.sparkContext.broadcast(automaton(*word_pieces(vocabulary)))

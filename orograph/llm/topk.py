@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, shard: int = SHA
     non-finite components, and rows without vec_id, take no part; only vectors of the same width
     are compared. Repeated rows are candidates each; a query id that repeats is
     answered once, by its first vector. An empty table gives no rows; further columns are
-    ignored. Scores are longs: exact where they fit one.
+    ignored. Vectors of any width are taken whole. Scores are longs: exact where they fit one.
     """
     t = whole_vectors(vectors)
     shards = packed(t, shard, "shards")

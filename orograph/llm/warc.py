@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,41 +52,56 @@ def with_revisits(pages: DataFrame, *, most_broadcast: int = 200_000) -> DataFra
     return t.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def _record(row: dict) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit without."""
-    body = b"" if row["refers_to"] is not None else row["payload"]
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same for a page and payload in every run."""
+    h = hashlib.sha256(f"{page_id}:{digest}".encode()).digest()
+    return f"<urn:uuid:{uuid.UUID(bytes=h[:16], version=5)}>"
+
+
+def _record(row: dict, date: str) -> bytes:
+    """One WARC/1.1 record, an HTTP response: with its payload, or, a revisit, with the head alone."""
+    revisit = row["refers_to"] is not None
     uri = quote(row["url"] or "", safe=":/?#[]@!$&'()*+,;=%-._~")
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['n_bytes']}".encode() + END + (b"" if revisit else row["payload"])
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if row['refers_to'] is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {record_id(row['page_id'], row['digest'])}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{row['digest']}",
-        f"X-Payload-Length: {row['n_bytes']}",
+        "Content-Type: application/http;msgtype=response",
     ]
     if row["page_id"] is not None:
         lines.append(f"X-Page-ID: {row['page_id']}")
-    if row["refers_to"] is not None:
-        lines.append(f"X-Refers-To-Page: {row['refers_to']}")
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    lines.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(lines).encode() + END + body + END
+    if revisit:
+        lines += [f"WARC-Refers-To: {record_id(row['refers_to'], row['digest'])}", f"X-Refers-To-Page: {row['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    lines.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(lines).encode() + END + block + END
+
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's names of S3 are read as s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write each partition as one archive, a single gzip stream; returns (path, n_records)."""
+
+def write_archives(records: DataFrame, folder: str, *, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Write each partition as one archive, a single gzip stream; returns (path, n_records).
+
+    ``date`` is every record's WARC-Date: pages do not say when they were fetched.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(f"{base}/raw", recursive=True)
         name, n = f"raw/{uuid.uuid4().hex}.warc.gz", 0
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=LEVEL) as z:
             for batch in _chain(first, batches):
                 for k in range(batch.num_rows):
-                    z.write(_record({c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}))
+                    z.write(_record({c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}, date))
                     n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n]})
 
@@ -120,11 +136,11 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(f"{base}/members", recursive=True)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                source_fs, source = pafs.FileSystem.from_uri(path)
+                source_fs, source = filesystem(path)
                 name, at, lines = f"members/{uuid.uuid4().hex}.warc.gz", 0, []
                 with source_fs.open_input_stream(source, compression=None) as f, gzip.GzipFile(fileobj=f) as z, fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                     for fields, record in _records(z):
@@ -153,8 +169,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
         for batch in batches:
             for path, index in zip(batch.column("path").to_pylist(), batch.column("index").to_pylist(), strict=True):
-                fs, p = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(pafs.FileSystem.from_uri(index)[1]) as f:
+                fs, p = filesystem(path)
+                with fs.open_input_stream(filesystem(index)[1]) as f:
                     entries = [line.split("\t") for line in f.read().decode().splitlines()]
                 rows = []
                 with fs.open_input_file(p) as f:
@@ -163,11 +179,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         record = zlib.decompress(f.read(int(length)), 31)
                         head, _, rest = record.partition(END)
                         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-                        body = rest[: int(fields["Content-Length"])]
+                        http, _, body = rest[: int(fields["Content-Length"])].partition(END)
                         revisit = fields["WARC-Type"] == "revisit"
                         rows.append({
                             "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
-                            "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(body),
+                            "payload_bytes": int(http.rpartition(b" ")[2]) if revisit else len(body),
                             "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest(),
                             "record_type": fields["WARC-Type"],
                             "refers_to": int(fields["X-Refers-To-Page"]) if revisit else None,
@@ -184,7 +200,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back ``pages`` (page_id, url, html): one row a page.
 
-    Null html is an empty payload, a null url an empty URI. Rows without page_id
+    Null html is an empty payload, a null url an empty URI; a payload of any length is one record. Rows without page_id
     revisit the smallest id of their payload, and are responses where no row has one;
     rows that repeat the smallest id are responses too. An empty table gives no rows;
     further columns are ignored.

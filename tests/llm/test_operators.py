@@ -309,6 +309,40 @@ def test_quality(docs, no_docs, clashing, rows):
     assert quality(no_docs).count() == 0
 
 
+def test_each_measure_rejects_junk(spark):
+    """Planted junk goes by the measure that it is made for; ordinary documents stay."""
+    from orograph.llm.quality import quality
+
+    rng = np.random.default_rng(11)
+    known = "the of and to in that was for with his had this from which they were have when there their time would people water after first made many long find work part place".split()
+    plain = lambda n: [known[i] + known[j] for i, j in rng.integers(0, len(known), (n, 2))]
+    rows = [(i, " ".join(plain(rng.integers(90, 110)))) for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "#%&"[i % 3] * 3 for w in plain(60))) for i in range(8)]
+    rows += [(2000 + i, " ".join([*plain(80), *("\U0001F9EA" for _ in range(6))])) for i in range(8)]
+    few = known[:9]
+    rows += [(3000 + i, " ".join(few[j] + few[k] for j, k in rng.integers(0, 3, (100, 2)))) for i in range(8)]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(400)) >= 392
+    for start, measure in ((1000, "chars_per_token"), (2000, "byte_share"), (3000, "entropy")):
+        planted = [got[start + i] for i in range(8) if not got[start + i].base_failed]
+        assert planted and not any(r.kept for r in planted)
+        assert sum(measure in r.rejected_by.split(",") for r in planted) >= len(planted) / 2
+
+
+@pytest.mark.parametrize("name", ["good_documents", "distinct_documents", "redacted", "mixed_documents"])
+def test_stages_carry_columns_of_any_name(clashing, docs, name):
+    from orograph.llm import minhash, mixing, pii, quality
+
+    stage = {"good_documents": quality.good_documents, "distinct_documents": minhash.distinct_documents, "redacted": pii.redacted, "mixed_documents": mixing.mixed_documents}[name]
+    got, want = stage(clashing), stage(docs)
+    assert got.columns == clashing.columns
+    extra = [c for c in clashing.columns if c not in docs.columns]
+    rows = got.collect()
+    assert all(r[c] == f"x-{c}" for r in rows for c in extra)
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in want.collect())
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
 def test_good_documents(docs):
     from orograph.llm.quality import good_documents, quality
 
@@ -488,6 +522,38 @@ def test_links_within_a_family_of_many_components(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("tasks", [1, 4, 40])
+def test_neighbours_reach_over_short_partitions(spark, tasks):
+    from orograph.llm import minhash
+
+    n, near = 200, 150
+    rows = [(t, bytes(4 * minhash.DEPTH), 1000 * t + i, i) for t in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "tree int, key binary, c long, comp long")
+    got = [(r.a, r.b) for r in minhash.neighbours(df, near, 3, tasks).collect()]
+    want = {(1000 * t + i, 1000 * t + j) for t in range(2) for i in range(n) for j in range(i + 1, min(n, i + near + 1))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recall_of_links_just_above_the_threshold(spark):
+    from orograph.llm import minhash
+
+    rng = np.random.default_rng(12)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    texts, links = [], []
+    for i in range(300):
+        w = fresh(204)
+        v = w[: 204 - 22] + fresh(22)
+        x, y = ({tuple(t[k : k + 5]) for k in range(200)} for t in (w, v))
+        share = len(x & y) / len(x | y)
+        assert 0.79 < share < 0.82
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        links.append(share >= 0.8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(300)]
+    assert not any(f and not t for f, t in zip(found, links, strict=True))
+    assert sum(found) >= 0.98 * sum(links)
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_all_pairs_of_a_region_are_compared(spark, monkeypatch, block):
     from orograph.llm import minhash
