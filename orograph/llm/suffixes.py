@@ -1,11 +1,13 @@
 """Byte strings of 400 that start twice or more anywhere: suffix buckets refined by later offsets (operator 6).
 
-The initial buckets are those of suffixes with an equal q-gram, taken at the
-places that windows choose by content instead of at every byte. A bucket is refined
-by grouping its suffixes on the identifiers of the stretches at later (and earlier)
-offsets: first on all that its windows cover, then, where members still differ, on
-ever smaller blocks, whose keys reuse the running hashes of the round before; the
-recursion ends with buckets of single 400-byte windows.
+Suffixes are taken at the places that 400-byte windows choose by content, about one
+byte in 170; equal windows choose equal places. The initial buckets are those of
+suffixes with an equal q-gram. A round refines each bucket that still has differing
+members: its windows are cut into smaller blocks, and a block's new bucket is named
+by the bucket it was in and by the identifiers of the stretches that it gains at
+later and at earlier offsets, so no round looks at what the ones before have
+compared. Members alike in all they cover share one pointer and go on as one; buckets
+of one member end. The last buckets are of single windows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def drop_repeated_bytes(docs: DataFrame, *, window: int = 400, gram: int = 64) -
     document or another row, repeated rows included; strings that tie all go. Null and empty
     texts have no bytes; a text of any length is one document. An empty table gives no rows; further columns are ignored.
     """
-    plan = Plan("byte", window, min(gram, window), (1 << 10, 32, 1))
+    plan = Plan("byte", window, min(gram, window), (1 << 10, 32, 1), refine=True)
     t = hashed(docs)
     found = repeated(t, plan, earlier=False)
 

@@ -36,12 +36,16 @@ ITEMS = "doc_id long, th long, k long, u long, r long, p1 long, p2 long"
 
 @dataclass(frozen=True)
 class Plan:
-    """What a window is: its length and that of a gram, in bytes or words, and the block sizes of the rounds."""
+    """What a window is: its length and that of a gram, in bytes or words, and the block sizes of the rounds.
+
+    ``refine``: buckets are named by the bucket before and what they gain, not by all that they hold.
+    """
 
     unit: str
     window: int
     gram: int
     blocks: tuple[int, ...]
+    refine: bool = False
 
     @property
     def places(self) -> int:
@@ -101,16 +105,25 @@ class Segment:
     def gram_keys(self) -> np.ndarray:
         return self.hash.of(self.anchor, self.anchor + self.plan.gram)
 
-    def split(self, a: np.ndarray, p1: np.ndarray, p2: np.ndarray, size: int):
-        """Cut stretches of windows into blocks of ``size`` places relative to the anchor; with each block's key."""
+    def split(self, a: np.ndarray, p1: np.ndarray, p2: np.ndarray, size: int, key: np.ndarray, near: np.ndarray, far: np.ndarray):
+        """Cut stretches of windows into blocks of ``size`` places relative to the anchor; with each block's key.
+
+        ``near``, ``far``: the places of the stretch before, whose windows have the bytes from a - near to a - far + window in common.
+        A refined key is made of the key before and of the identifiers of what a block gains at later and at earlier offsets.
+        """
         lo, hi = (a - p2) // size, (a - p1) // size
         n = hi - lo + 1
         of = np.repeat(np.arange(len(a)), n)
         block = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of]
-        a = a[of]
+        a, key, near_0, far_0 = a[of], key[of], near[of], far[of]
         near, far = block * size, np.minimum(block * size + size - 1, self.plan.places - 1)
-        key = mix64(self.hash.of(a - near, a - far + self.plan.window) + mix64(block + (size << 32)))
-        return a, np.maximum(p1[of], a - far), np.minimum(p2[of], a - near), key
+        if self.plan.refine:
+            later = self.hash.of(a - far_0 + self.plan.window, a - far + self.plan.window)
+            earlier = self.hash.of(a - near, a - near_0)
+            key = mix64(mix64(mix64(key + later) + earlier) + mix64(block + (size << 32)))
+        else:
+            key = mix64(self.hash.of(a - near, a - far + self.plan.window) + mix64(block + (size << 32)))
+        return a, np.maximum(p1[of], a - far), np.minimum(p2[of], a - near), key, near, far
 
     def extents(self, a: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """A second hash, of all that the windows p1..p2 cover and where they lie."""
@@ -163,17 +176,19 @@ def open_items(docs: DataFrame, plan: Plan, level: int, filters: list) -> DataFr
                 for s, offs, seg in segments(piece.column("text"), plan):
                     yes = sk.holds(*filters[0].value, seg.gram_keys())
                     a, p1, p2 = seg.anchor[yes], seg.p1[yes], seg.p2[yes]
+                    # the initial bucket: all windows of a run have its gram in common
+                    key, near, far = seg.gram_keys()[yes], np.zeros(len(a), np.int64), np.full(len(a), plan.places - 1)
                     for i in range(level + 1):
                         if not len(a):
                             break
-                        a, p1, p2, key = seg.split(a, p1, p2, plan.blocks[i])
+                        a, p1, p2, key, near, far = seg.split(a, p1, p2, plan.blocks[i], key, near, far)
                         u = seg.extents(a, p1, p2)
                         doc = np.searchsorted(offs, p1 + s, "right") - 1
                         base = offs[doc] - s
                         r = mix64(key + mix64(u + mix64(own[doc] + (p1 - base).astype(U))))
                         if i < level:
                             yes = sk.holds(*filters[i + 1].value, r)
-                            a, p1, p2 = a[yes], p1[yes], p2[yes]
+                            a, p1, p2, key, near, far = (x[yes] for x in (a, p1, p2, key, near, far))
                     if not len(a):
                         continue
                     rows = pa.array(doc)
