@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import at_ranks, quantiles
+from orograph.functions.tables import materialize
+
 TILE = 256
 
 
@@ -166,7 +169,7 @@ def guided(px: DataFrame, source: str, guide: str, radius: int, eps: float, out:
 
 def object_band(px: DataFrame, sigma: float, column: str = "z", out: str = "object") -> DataFrame:
     """Height over the low-passed surface; holes are filled with the scene's median for it and stay holes."""
-    mid = px.groupBy("scene").agg(F.percentile(column, F.lit(0.5)).alias("_mid"))
+    mid = quantiles(px, ["scene"], _mid=(column, 0.5))
     t = px.join(mid, "scene").withColumn("_full", F.coalesce(column, "_mid", F.lit(0.0)))
     low = gaussian(t, sigma, "_full", "_low")
     return t.join(low, ["scene", "r", "c"]).withColumn(out, F.when(F.col(column).isNotNull(), F.col("_full") - F.col("_low"))).drop("_mid", "_full", "_low")
@@ -198,9 +201,14 @@ def sharpen(px: DataFrame, sigma: float, amount: float = 0.5) -> DataFrame:
 
 
 def crispness(px: DataFrame, slope: str = "slope") -> DataFrame:
-    """Share of all gradient magnitude that the steepest 1 % of pixels hold."""
-    g = F.tan(F.radians(slope))
-    t = px.filter(F.col(slope).isNotNull()).withColumn("_g", g)
-    n = t.groupBy("scene").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(0.01))).alias("_k"), F.sum("_g").alias("_all"))
-    cut = t.join(n, "scene").withColumn("_i", F.row_number().over(W.partitionBy("scene").orderBy(F.col("_g").desc(), "r", "c")))
-    return cut.groupBy("scene").agg((F.sum(F.when(F.col("_i") <= F.col("_k"), F.col("_g"))) / F.greatest(F.max("_all"), F.lit(1e-12))).alias("crispness"))
+    """Share of all gradient magnitude that the steepest 1 % of pixels hold.
+
+    The magnitude at the cut is found by its rank; what lies above it is summed and
+    the pixels that tie with it fill up the 1 %.
+    """
+    t = px.filter(F.col(slope).isNotNull()).select("scene", F.tan(F.radians(slope)).alias("v"))
+    n = t.groupBy("scene").agg(F.count(F.lit(1)).alias("_n"), F.sum("v").alias("_all"))
+    n = materialize(n.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.01)))), "gradients")
+    cut = at_ranks(t, ["scene"], n.select("scene", (F.col("_n") - F.col("_k")).cast("long").alias("rank")))
+    over = t.join(cut.select("scene", F.col("v").alias("_cut")), "scene").groupBy("scene").agg(F.max("_cut").alias("_cut"), F.count_if(F.col("v") > F.col("_cut")).alias("_m"), F.coalesce(F.sum(F.when(F.col("v") > F.col("_cut"), F.col("v"))), F.lit(0.0)).alias("_top"))
+    return over.join(n, "scene").select("scene", ((F.col("_top") + (F.col("_k") - F.col("_m")) * F.col("_cut")) / F.greatest("_all", F.lit(1e-12))).alias("crispness"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
+
 
 def luma709(red: Column, green: Column, blue: Column) -> Column:
     return F.lit(0.2126) * red + F.lit(0.7152) * green + F.lit(0.0722) * blue
@@ -27,13 +29,18 @@ def excess_green(red: Column, green: Column, blue: Column) -> Column:
     return (F.lit(2.0) * green - red - blue) / (red + green + blue + F.lit(1e-6))
 
 
-def with_scene(px: DataFrame, **stats: Column) -> DataFrame:
-    """``px`` with aggregates of its scene as columns; a row per scene is joined back."""
-    return px.join(px.groupBy("scene").agg(*[v.alias(k) for k, v in stats.items()]), "scene")
+def with_scene(px: DataFrame, **stats: Column | tuple) -> DataFrame:
+    """``px`` with aggregates of its scene as columns, quantiles as (column, p, ...); a row per scene is joined back."""
+    plain = [v.alias(k) for k, v in stats.items() if not isinstance(v, tuple)]
+    ranks = {k: v for k, v in stats.items() if isinstance(v, tuple)}
+    for rows in ([px.groupBy("scene").agg(*plain)] if plain else []) + ([quantiles(px, ["scene"], **ranks)] if ranks else []):
+        px = px.join(rows, "scene")
+    return px
 
 
-def percentile(c: str | Column, *ps: float) -> Column:
-    return F.percentile(c, F.array(*[F.lit(p) for p in ps]) if len(ps) > 1 else F.lit(ps[0]))
+def percentile(c: str | Column, *ps: float) -> tuple:
+    """A quantile, or several, as ``with_scene`` and ``quantiles`` take it."""
+    return (c, *ps)
 
 
 def cloud_shadow_mask(px: DataFrame, *, reach: float = 2.5, max_sat: float = 0.15, max_bad: float = 0.35) -> DataFrame:
@@ -51,7 +58,7 @@ def cloud_shadow_mask(px: DataFrame, *, reach: float = 2.5, max_sat: float = 0.1
 
 def needs_stretch(px: DataFrame, band: str) -> DataFrame:
     """Per scene: whether the middle 96 % of a band spans at least 1 but under 90 levels."""
-    t = px.groupBy("scene").agg(percentile(band, 0.02, 0.98).alias("q"))
+    t = quantiles(px, ["scene"], q=(band, 0.02, 0.98))
     span = F.col("q")[1] - F.col("q")[0]
     return t.select("scene", span.alias("span"), F.when(span < 1, False).otherwise(span < 90).alias("needed"))
 
@@ -59,11 +66,12 @@ def needs_stretch(px: DataFrame, band: str) -> DataFrame:
 def stretch_per_band(px: DataFrame, *, lo: float = 0.02, hi: float = 0.98, least: int = 16) -> DataFrame:
     """Each band to 0..255 between its percentiles over valid pixels (over all, where fewer than ``least`` are valid)."""
     long = px.select("scene", "r", "c", "valid", F.explode(F.create_map(*[x for b in ("red", "green", "blue") for x in (F.lit(b), F.col(b).cast("double"))])).alias("band", "v"))
-    stats = long.groupBy("scene", "band").agg(F.count_if("valid").alias("n"), percentile(F.when(F.col("valid"), F.col("v")), lo, hi).alias("q"), percentile("v", lo, hi).alias("qa"))
+    by = ["scene", "band"]
+    stats = long.groupBy(*by).agg(F.count_if("valid").alias("n")).join(quantiles(long, by, q=(F.when(F.col("valid"), F.col("v")), lo, hi), qa=("v", lo, hi)), by)
     stats = stats.withColumn("q", F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("qa")))
     a, b = F.col("q")[0], F.col("q")[1]
     x = F.least(F.greatest((F.col("v") - a) / F.greatest(b - a, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
-    return long.join(F.broadcast(stats), ["scene", "band"]).groupBy("scene", "r", "c").pivot("band", ["red", "green", "blue"]).agg(F.first(F.floor(x * 255.0).cast("int")))
+    return long.join(stats, by).groupBy("scene", "r", "c").pivot("band", ["red", "green", "blue"]).agg(F.first(F.floor(x * 255.0).cast("int")))
 
 
 def otsu(px: DataFrame, value: str, bins: int = 256) -> DataFrame:
@@ -131,4 +139,11 @@ def colour(z: Column, lo: Column, hi: Column, stops: list[str], missing: str = "
 
 def layer_ranges(px: DataFrame) -> DataFrame:
     """Display range of each scene's height layer (p1 to p99) and slope layer (0 to its p99 within 10..60 degrees)."""
-    return px.groupBy("scene").agg(percentile("z", 0.01).alias("height_min"), percentile("z", 0.99).alias("height_max"), F.lit(0.0).alias("slope_min"), F.least(F.greatest(percentile("slope", 0.99), F.lit(10.0)), F.lit(60.0)).alias("slope_max"))
+    t = quantiles(px, ["scene"], height_min=("z", 0.01), height_max=("z", 0.99), slope_max=("slope", 0.99))
+    return t.select("scene", "height_min", "height_max", F.lit(0.0).alias("slope_min"), F.least(F.greatest("slope_max", F.lit(10.0)), F.lit(60.0)).alias("slope_max"))
+
+
+def normalised(column: str) -> Column:
+    """A column of ``with_scene`` data to 0..1 between two of the scene's quantiles, held in the array q, cut off."""
+    a, b = F.col("q")[0], F.col("q")[1]
+    return F.least(F.greatest((F.col(column) - a) / F.greatest(b - a, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))

@@ -1,6 +1,6 @@
 """Accuracy metrics of predicted against reference heights, by any strata.
 
-Everything is a grouped aggregate. The only second pass is the median absolute
+Everything is a grouped aggregate; quantiles of large groups are found by ranks. The only second pass is the median absolute
 deviation, which needs each group's median first; the medians (a row per stratum)
 are joined back to the errors.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
+
 #: Height bands in metres.
 BANDS = [(-1e9, 2.0), (2.0, 10.0), (10.0, 30.0), (30.0, 1e9)]
 MAD = 1.4826
@@ -40,14 +42,13 @@ def metrics(px: DataFrame, by: list[str] | None = None) -> DataFrame:
     pair = F.col("e").isNotNull()
     sums = t.groupBy(*on).agg(
         F.count_if(pair).alias("n"), (F.lit(100.0) * F.count_if(pair) / F.count(F.lit(1))).alias("coverage_pct"),
-        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.percentile(F.abs("e"), F.lit(0.5)).alias("medae"), F.avg("e").alias("bias"),
-        F.stddev_pop("e").alias("std"), F.percentile(F.abs("e"), F.lit(0.9)).alias("le90"), F.percentile("e", F.lit(0.5)).alias("_mid"),
-        F.percentile(F.when(pair, F.col("ref")), F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.stddev_pop(F.when(pair, F.col("pred"))).alias("_sp"), F.stddev_pop(F.when(pair, F.col("ref"))).alias("_sr"),
+        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.stddev_pop("e").alias("std"), F.stddev_pop(F.when(pair, F.col("pred"))).alias("_sp"), F.stddev_pop(F.when(pair, F.col("ref"))).alias("_sr"),
         F.covar_pop(F.when(pair, F.col("pred")), F.when(pair, F.col("ref"))).alias("_c"), F.sum(F.col("e") * F.col("e")).alias("_sse"), F.var_pop(F.when(pair, F.col("ref"))).alias("_vr"),
     )
-    same = t.filter(pair).join(sums.select(*on, "_mid"), on)
-    spread = same.groupBy(*on).agg((F.lit(MAD) * F.percentile(F.abs(F.col("e") - F.col("_mid")), F.lit(0.5))).alias("nmad"))
-    out = sums.join(spread, on, "left")
+    ranks = quantiles(t, on, medae=(F.abs("e"), 0.5), le90=(F.abs("e"), 0.9), _mid=("e", 0.5), _q=(F.when(pair, F.col("ref")), 0.01, 0.99))
+    same = t.filter(pair).join(ranks.select(*on, "_mid"), on)
+    spread = quantiles(same, on, _mad=(F.abs(F.col("e") - F.col("_mid")), 0.5)).select(*on, (F.lit(MAD) * F.col("_mad")).alias("nmad"))
+    out = sums.join(ranks, on).join(spread, on, "left")
     r = F.when((F.col("_sp") > 1e-9) & (F.col("_sr") > 1e-9), F.col("_c") / (F.col("_sp") * F.col("_sr")))
     wide = F.col("_q")[1] - F.col("_q")[0]
     cols = {
@@ -60,7 +61,7 @@ def metrics(px: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def shifted(px: DataFrame, by: list[str]) -> DataFrame:
     """``px`` with the median of ref - pred of its stratum added to pred."""
-    off = finite_pairs(px).groupBy(*by).agg(F.percentile(F.col("ref") - F.col("pred"), F.lit(0.5)).alias("offset"))
+    off = quantiles(finite_pairs(px), by, offset=(F.col("ref") - F.col("pred"), 0.5))
     return px.join(off, by, "left").withColumn("pred", F.col("pred") + F.col("offset"))
 
 

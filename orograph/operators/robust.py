@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import MOST, largest_group, quantiles
 from orograph.functions.tables import materialize
 
 MAD = 1.4826
@@ -23,19 +24,24 @@ def _solve2(s: dict[str, str]) -> dict[str, Column]:
     return {"a": F.when(ok, (c["xy"] * c["n"] - c["x"] * c["y"]) / det), "b": F.when(ok, (c["xx"] * c["y"] - c["x"] * c["xy"]) / det)}
 
 
-def weighted(t: DataFrame, coef: DataFrame, by: list[str], residual: Column) -> DataFrame:
+def medians(t: DataFrame, by: list[str], value: Column | str, name: str, small: bool) -> DataFrame:
+    """A row per group; ``small``: the groups are known to fit a task each."""
+    return t.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias(name)) if small else quantiles(t, by, most=0, **{name: (value, 0.5)})
+
+
+def weighted(t: DataFrame, coef: DataFrame, by: list[str], residual: Column, small: bool) -> DataFrame:
     """``t`` with residuals of the group's coefficients and the weights they lead to (w2, squared)."""
     t = t.join(coef, by).withColumn("_r", residual)
-    mid = t.groupBy(*by).agg(F.percentile("_r", F.lit(0.5)).alias("_m"))
-    t = t.join(mid, by)
-    mad = t.groupBy(*by).agg((F.lit(MAD) * F.percentile(F.abs(F.col("_r") - F.col("_m")), F.lit(0.5)) + F.lit(1e-9)).alias("_s"))
+    t = t.join(medians(t, by, "_r", "_m", small), by)
+    mad = medians(t, by, F.abs(F.col("_r") - F.col("_m")), "_d", small).select(*by, (F.lit(MAD) * F.col("_d") + F.lit(1e-9)).alias("_s"))
     z = F.col("_r") / (F.lit(2.0) * F.col("_s"))
     return t.join(mad, by).withColumn("w2", F.lit(1.0) / (F.lit(1.0) + z * z))
 
 
 def affine(points: DataFrame, by: list[str], *, rounds: int = 5, least: int = 10) -> DataFrame:
     """(by, a, b): y = a x + b, robust against outliers; (1, 0) for groups of under ``least`` points or without spread."""
-    t = points.select(*by, "x", "y").filter("x is not null and y is not null")
+    t = materialize(points.select(*by, "x", "y").filter("x is not null and y is not null"), "affine-points")
+    small = largest_group(t, by) <= MOST
     enough = materialize(t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("sd")).select(*by, ((F.col("n") >= least) & (F.col("sd") > 1e-9)).alias("ok")), "affine-groups")
     w, coef = t.withColumn("w2", F.lit(1.0)), None
     for _ in range(rounds):
@@ -43,7 +49,7 @@ def affine(points: DataFrame, by: list[str], *, rounds: int = 5, least: int = 10
         sums = w.groupBy(*by).agg(F.sum(k).alias("sn"), F.sum(k * x).alias("sx"), F.sum(k * y).alias("sy"), F.sum(k * x * x).alias("sxx"), F.sum(k * x * y).alias("sxy"))
         fit = _solve2({"n": "sn", "x": "sx", "y": "sy", "xx": "sxx", "xy": "sxy"})
         coef = materialize(sums.select(*by, *[v.alias(k) for k, v in fit.items()]), "affine-fit")
-        w = weighted(t, coef, by, F.col("y") - F.col("a") * F.col("x") - F.col("b"))
+        w = weighted(t, coef, by, F.col("y") - F.col("a") * F.col("x") - F.col("b"), small)
     out = enough.join(coef, by)
     return out.select(*by, F.when(F.col("ok"), F.coalesce("a", F.lit(1.0))).otherwise(F.lit(1.0)).alias("a"), F.when(F.col("ok"), F.coalesce("b", F.lit(0.0))).otherwise(F.lit(0.0)).alias("b"))
 
@@ -54,6 +60,8 @@ def plane(px: DataFrame, *, rounds: int = 3) -> DataFrame:
     half = lambda n: F.col(n) / F.lit(2.0)
     t = px.filter("z is not null").join(dims, "scene")
     t = t.select("scene", "r", "c", "z", ((F.col("c") - half("_w")) / F.greatest(half("_w"), F.lit(1.0))).alias("x"), ((F.col("r") - half("_h")) / F.greatest(half("_h"), F.lit(1.0))).alias("y"))
+    t = materialize(t, "plane-points")
+    small = largest_group(t, ["scene"]) <= MOST
     w, coef = t.withColumn("w2", F.lit(1.0)), None
     for _ in range(rounds):
         x, y, z, k = F.col("x"), F.col("y"), F.col("z"), F.col("w2")
@@ -71,7 +79,7 @@ def plane(px: DataFrame, *, rounds: int = 3) -> DataFrame:
             mj = [v[i // 3] if i % 3 == j else m[i] for i in range(9)]
             cols.append(F.when(F.abs(d) > 1e-18, det(mj) / d).otherwise(F.lit(0.0)).alias(name))
         coef = materialize(s.select("scene", *cols), "plane-fit")
-        w = weighted(t, coef, ["scene"], F.col("z") - F.col("p") * F.col("x") - F.col("q") * F.col("y") - F.col("o"))
+        w = weighted(t, coef, ["scene"], F.col("z") - F.col("p") * F.col("x") - F.col("q") * F.col("y") - F.col("o"), small)
     return coef
 
 

@@ -55,11 +55,12 @@ def shadow_lengths(px: DataFrame, azimuth: float, *, least_px: int = 3, least_ra
 
 
 def footprints(px: DataFrame, *, least_px: int, least_h: float, most: int = 2000) -> DataFrame:
-    """Regions as buildings, largest first: area, p75 height, box, share of vegetation; too small, low or green ones go."""
+    """Regions as buildings, the largest of each scene: area, p75 height, box, share of vegetation; too small, low or green ones go."""
     mid = px.groupBy("scene").agg(F.percentile("veg", F.lit(0.5)).alias("_v"))
     t = px.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("area"), F.percentile("z", F.lit(0.75)).alias("height"), F.avg("veg").alias("veg"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right"))
     t = t.join(mid, "scene").filter((F.col("area") >= least_px) & (F.col("height") >= least_h) & (F.col("veg") <= F.col("_v") + 0.3)).drop("_v")
-    return t.orderBy(F.col("area").desc(), "label").limit(most)
+    place = F.row_number().over(W.partitionBy("scene").orderBy(F.col("area").desc(), "label"))
+    return t.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
 def overlap_fits(tiled: DataFrame) -> DataFrame:

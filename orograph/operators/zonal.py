@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from orograph.functions.tables import materialize
 
 
-def components(px: DataFrame, rounds: int = 200) -> DataFrame:
+def components(px: DataFrame) -> DataFrame:
     """(scene, r, c, label) of the pixels of ``px``, 4-connected; the label is the smallest pixel number of the component.
 
     Labels spread along whole runs of a row, then of a column, at a time, and then
-    through the pixel that a label names, so the rounds grow with how often a
-    component turns, not with its size. Each round is written.
+    through the pixel that a label names, until none moves. Each round is written.
     """
     n = px.groupBy("scene").agg((F.max("c") + 1).cast("long").alias("_w"))
     t = px.select("scene", "r", "c").join(n, "scene").withColumn("id", F.col("r") * F.col("_w") + F.col("c")).drop("_w")
@@ -27,7 +26,7 @@ def components(px: DataFrame, rounds: int = 200) -> DataFrame:
 
     t = materialize(t.select("*", runs("c", "r", "hr"), runs("r", "c", "vr"), F.col("id").alias("label")), "runs")
     before = None
-    for _ in range(rounds):
+    while True:
         t2 = t.withColumn("label", F.min("label").over(W.partitionBy("scene", "r", "hr")))
         t2 = t2.withColumn("label", F.min("label").over(W.partitionBy("scene", "c", "vr")))
         t = materialize(t2, "labels")
@@ -35,7 +34,26 @@ def components(px: DataFrame, rounds: int = 200) -> DataFrame:
         if now == before:
             return t.select("scene", "r", "c", "label")
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        named = t.select("scene", F.col("id").alias("label"), F.col("label").alias("_to"))
+        t = t.join(named, ["scene", "label"]).withColumn("label", F.least("label", "_to")).drop("_to").select("scene", "r", "c", "id", "hr", "vr", "label")
+
+
+def distance(px: DataFrame, radius: int = 3) -> DataFrame:
+    """``px`` (scene, r, c, inside) with ``distance``, exact and Euclidean, of each inside pixel to the nearest one outside; 0 outside, null where the scene has none."""
+    n = px.groupBy("scene").agg((F.max("c") + 1).cast("long").alias("_w"))
+    at = (F.col("r") * F.col("_w") + F.col("c")).cast("double")
+    t = px.join(n, "scene").withColumn("z", F.when(~F.col("inside"), at))
+    t = nearest_fill(t, radius)
+    near_r, near_c = F.floor(F.col("z") / F.col("_w")), F.pmod(F.col("z"), F.col("_w").cast("double"))
+    return t.withColumn("distance", F.sqrt((F.col("r") - near_r) ** 2 + (F.col("c") - near_c) ** 2)).drop("z", "_w")
+
+
+def structure_width(px: DataFrame, *, least_px: int = 40, share: float = 0.9, pixel: float = 1.0) -> DataFrame:
+    """Per scene the area-weighted quantile of structure widths: twice a component's largest distance to the outside, of components of ``least_px`` pixels and more."""
+    inside = px.filter("inside")
+    t = components(inside).join(distance(px).select("scene", "r", "c", "distance"), ["scene", "r", "c"])
+    t = t.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("area"), (F.lit(2.0 * pixel) * F.max("distance")).alias("width"))
+    return weighted_quantile(t.filter(F.col("area") >= least_px), "width", "area", share)
 
 
 def planes(px: DataFrame, *, least: int = 30, keep: int = 20, strength: float = 0.8) -> DataFrame:
@@ -87,6 +105,33 @@ def merge_candidates(px: DataFrame, tolerance: float, pct: float = 0.75) -> Data
     return t.withColumn("gap", F.abs(F.col("ha") - F.col("hb"))).filter(F.col("gap") <= tolerance).select("scene", "a", "b", "gap")
 
 
+def joined(pairs: DataFrame) -> DataFrame:
+    """(scene, label, group) of the labels in ``pairs`` (scene, a, b): group is the smallest label that pairs reach.
+
+    Labels take the smallest group of their neighbours, then the group of the label
+    that it names, until none moves; each round is written.
+    """
+    both = pairs.select("scene", F.col("a").alias("label"), F.col("b").alias("other")).unionByName(pairs.select("scene", F.col("b").alias("label"), F.col("a").alias("other")))
+    both = materialize(both.distinct(), "pairs")
+    t, before = materialize(both.select("scene", "label", F.col("label").alias("group")).distinct(), "groups"), None
+    while True:
+        near = both.join(t.select("scene", F.col("label").alias("other"), "group"), ["scene", "other"]).groupBy("scene", "label").agg(F.min("group").alias("_g"))
+        t = t.join(near, ["scene", "label"]).select("scene", "label", F.least("group", "_g").alias("group"))
+        named = t.select("scene", F.col("label").alias("group"), F.col("group").alias("_to"))
+        t = materialize(t.join(named, ["scene", "group"]).select("scene", "label", F.least("group", "_to").alias("group")), "groups")
+        now = t.agg(F.sum(F.col("group").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return t
+        before = now
+
+
+def merged(px: DataFrame, tolerance: float, pct: float = 0.75) -> DataFrame:
+    """Regions (scene, label, region): those that touch at like roof heights become one, numbered densely from 1."""
+    to = joined(merge_candidates(px, tolerance, pct).select("scene", "a", "b"))
+    t = px.select("scene", "label").distinct().join(to, ["scene", "label"], "left").withColumn("group", F.coalesce("group", "label"))
+    return t.select("scene", "label", F.dense_rank().over(W.partitionBy("scene").orderBy("group")).alias("region"))
+
+
 def weighted_quantile(regions: DataFrame, value: str, weight: str, share: float) -> DataFrame:
     """Smallest value up to which at least ``share`` of the weight lies."""
     w = W.partitionBy("scene").orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)

@@ -83,9 +83,15 @@ def connected_components(spark, d):
     return zonal.components(_mask(spark, d))
 
 
+def distance_transform(spark, d):
+    t = a.grid(spark, d).select("scene", "r", "c", (F.col("z") > F.lit(-0.12)).alias("inside"))
+    return six(zonal.distance(t).filter("inside").select("scene", "r", "c", "distance"))
+
+
 def structure_width_p90(spark, d):
-    t = zonal.components(_mask(spark, d)).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("area"), (F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c")) + 1).alias("width"))
-    return zonal.weighted_quantile(t.filter("area >= 3"), "width", "area", 0.9)
+    t = a.grid(spark, d).select("scene", "r", "c", (F.col("z") > F.lit(0.08)).alias("inside"))
+    w = zonal.structure_width(t, least_px=5)
+    return six(w.select("scene", "width", F.least(F.greatest(F.col("width") * 2.5, F.lit(15.0)), F.lit(60.0)).alias("scale")))
 
 
 def zonal_plane_flatten(spark, d):
@@ -96,6 +102,10 @@ def merge_touching(spark, d):
     return six(zonal.merge_candidates(a.grid(spark, d).select("scene", "label", "r", "c", "z"), 0.01))
 
 
+def merged_regions(spark, d):
+    return zonal.merged(a.grid(spark, d).select("scene", "label", "r", "c", "z"), 0.004)
+
+
 def nearest_fill(spark, d):
     t = a.grid(spark, d).withColumn("z", F.when((F.col("r") * 64 + F.col("c")) % 3 == 0, F.col("z")))
     return six(zonal.nearest_fill(t, 3).select("scene", "r", "c", "z"))
@@ -134,7 +144,7 @@ def polygon_rasterise(spark, d):
     return t.filter(zonal.inside(F.col("ring"), F.col("c") + F.lit(0.25), F.col("r") + F.lit(0.25))).select("id", "r", "c")
 
 
-QUERIES = [block_reduce_median, decimate_avg, validity_downsample, tile_grid, feather_blend, first_wins_mosaic, bilinear_probe, line_profile, profile_vs_reference, connected_components, structure_width_p90, zonal_plane_flatten, merge_touching, nearest_fill, mesh_walls, mesh_smooth_faces, mesh_relief, polygon_area, polygon_rasterise]
+QUERIES = [block_reduce_median, decimate_avg, validity_downsample, tile_grid, feather_blend, first_wins_mosaic, bilinear_probe, line_profile, profile_vs_reference, connected_components, distance_transform, structure_width_p90, merged_regions, zonal_plane_flatten, merge_touching, nearest_fill, mesh_walls, mesh_smooth_faces, mesh_relief, polygon_area, polygon_rasterise]
 
 PX = "scene r c"
 H = "(SELECT max(r) + 1 FROM g)"
@@ -157,6 +167,12 @@ REACH = "reach(a, b) AS (SELECT id, id FROM mi UNION SELECT reach.a, ed.b FROM r
 MED4 = "b4 AS (SELECT scene, r // 4 AS r, c // 4 AS c, quantile_cont(z, 0.5) AS z FROM g WHERE r < ((SELECT max(r) + 1 FROM g) // 4) * 4 GROUP BY ALL)"
 
 
+def _edt(over: float) -> str:
+    """dt: the distance of each pixel of z over a limit to the nearest other one, which is within 12 rows and columns."""
+    return f"""fg AS (SELECT r, c FROM g WHERE z > {over}::DOUBLE), bg AS (SELECT r, c FROM g WHERE NOT z > {over}::DOUBLE), of AS (SELECT i, j, i * i + j * j AS d2 FROM (SELECT unnest(range(-12, 13)) AS i) CROSS JOIN (SELECT unnest(range(-12, 13)) AS j)),
+ dt AS (SELECT fg.r, fg.c, sqrt(min(d2)::DOUBLE) AS distance FROM fg CROSS JOIN of JOIN bg ON bg.r = fg.r + i AND bg.c = fg.c + j GROUP BY ALL)"""
+
+
 def _feather(i: str) -> str:
     return f"CASE WHEN least({i}, 39 - {i}) < 10 THEN (1 - cos(3.141592653589793::DOUBLE * (least({i}, 39 - {i}) + 1) / 21)) / 2 ELSE 1 END"
 
@@ -178,7 +194,10 @@ ORACLE = {
     "line_profile": sql6(f"WITH {G}, {HOLED}, {LINES}, s AS ({_bilinear('h', 'lp', 'line, i')}) SELECT line, count(z) AS n, min(z) AS lo, max(z) AS hi, arg_max_null(z, i) - arg_min_null(z, i) AS dh FROM s GROUP BY line", "lo hi dh", "line n"),
     "profile_vs_reference": sql6(f"WITH {G}, {HOLED}, gp AS (SELECT * FROM ({PR[len('pr AS ('):-1].replace('FROM h', 'FROM g')})), {LINES}, p AS ({_bilinear('gp', 'lp', 'line, i', 'pred')}), q AS ({_bilinear('gp', 'lp', 'line, i', 'ref')}), e AS (SELECT p.line, p.z AS pred, q.z AS ref FROM p JOIN q USING (line, i)), o AS (SELECT line, quantile_cont(ref - pred, 0.5) AS \"offset\" FROM e GROUP BY line) SELECT e.line, sqrt(avg((pred - ref) ** 2)) AS rmse_raw, max(\"offset\") AS \"offset\", sqrt(avg((pred + \"offset\" - ref) ** 2)) AS rmse_shift FROM e JOIN o USING (line) GROUP BY e.line", 'rmse_raw "offset" rmse_shift', "line"),
     "connected_components": f"WITH RECURSIVE {G}, {MASKED}, {REACH} SELECT 'g' AS scene, r, c, label FROM mi JOIN lb USING (id)",
-    "structure_width_p90": f"WITH RECURSIVE {G}, {MASKED}, {REACH}, a AS (SELECT label, count(*) AS area, greatest(max(r) - min(r), max(c) - min(c)) + 1 AS width FROM mi JOIN lb USING (id) GROUP BY label HAVING count(*) >= 3), s AS (SELECT width, sum(area) OVER (ORDER BY width) / sum(area) OVER () AS s FROM a) SELECT 'g' AS scene, min(width) AS width FROM s WHERE s >= 0.9",
+    "distance_transform": sql6(f"WITH {G}, {_edt(-0.12)} SELECT 'g' AS scene, r, c, distance FROM dt", "distance", PX),
+    "structure_width_p90": sql6(f"WITH RECURSIVE {G}, {MASKED.replace('0.12', '0.08')}, {REACH}, {_edt(0.08)}, a AS (SELECT label, count(*) AS area, 2.0 * max(distance) AS width FROM mi JOIN lb USING (id) JOIN dt USING (r, c) GROUP BY label HAVING count(*) >= 5), s AS (SELECT width, sum(area) OVER (ORDER BY width) / sum(area) OVER () AS s FROM a), m AS (SELECT min(width) AS width FROM s WHERE s >= 0.9) SELECT 'g' AS scene, width, least(greatest(width * 2.5, 15.0), 60.0) AS scale FROM m", "width scale", "scene"),
+    "merged_regions": "WITH RECURSIVE " + G + """, h AS (SELECT label, quantile_cont(z, 0.75) AS h FROM g GROUP BY label), t AS (SELECT DISTINCT a.label AS a, b.label AS b FROM g a JOIN g b ON ((a.r = b.r AND abs(b.c - a.c) = 1) OR (a.c = b.c AND abs(b.r - a.r) = 1)) AND a.label <> b.label JOIN h x ON x.label = a.label JOIN h y ON y.label = b.label WHERE abs(x.h - y.h) <= 0.004),
+ reach(a, b) AS (SELECT label, label FROM h UNION SELECT reach.a, t.b FROM reach JOIN t ON reach.b = t.a), m AS (SELECT a AS label, min(b) AS m FROM reach GROUP BY a) SELECT 'g' AS scene, label, dense_rank() OVER (ORDER BY m)::INT AS region FROM m""",
     "zonal_plane_flatten": sql6(f"""WITH {G}, ct AS (SELECT label, avg(c::DOUBLE) AS cx, avg(r::DOUBLE) AS cy, quantile_cont(z, 0.5) AS med, count(*) AS size FROM g GROUP BY label), t AS (SELECT * FROM g JOIN ct USING (label)), {_fit('f', 't')},
  o1 AS (SELECT t.*, p * (c - cx) + q * (r - cy) + o AS fit, z - (p * (c - cx) + q * (r - cy) + o) AS res FROM t JOIN f USING (label)), m AS (SELECT label, quantile_cont(res, 0.5) AS m FROM o1 GROUP BY label), sd AS (SELECT label, 1.4826::DOUBLE * quantile_cont(abs(res - m), 0.5) + 1e-6 AS s FROM o1 JOIN m USING (label) GROUP BY label),
  k AS (SELECT o1.* FROM o1 JOIN sd USING (label) WHERE abs(res) < 2.5 * s), {_fit('f2', 'k')}
