@@ -146,4 +146,4 @@ def layer_ranges(px: DataFrame) -> DataFrame:
 def normalised(column: str) -> Column:
     """A column of ``with_scene`` data to 0..1 between two of the scene's quantiles, held in the array q, cut off."""
     a, b = F.col("q")[0], F.col("q")[1]
-    return F.least(F.greatest((F.col(column) - a) / F.greatest(b - a, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
+    return F.when(F.col(column).isNotNull(), F.least(F.greatest((F.col(column) - a) / F.greatest(b - a, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0)))
