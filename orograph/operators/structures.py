@@ -104,30 +104,47 @@ def plain_area(ring: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
 
 
-def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
-    """Triangles (vertex numbers) of a simple polygon: cut off convex corners that hold no other vertex."""
-    left = list(range(len(ring)))
-    if plain_area(ring) < 0:
-        left.reverse()
-
-    def turn(a, b, c):
-        return (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
-
-    out = []
-    while len(left) > 3:
-        for i in range(len(left)):
-            a, b, c = (left[(i + d) % len(left)] for d in (-1, 0, 1))
-            pa, pb, pc = ring[a], ring[b], ring[c]
-            if turn(pa, pb, pc) <= 0:
-                continue
-            if any(min(turn(pa, pb, ring[q]), turn(pb, pc, ring[q]), turn(pc, pa, ring[q])) >= 0 for q in left if q not in (a, b, c)):
-                continue
-            out.append((a, b, c))
-            left.pop(i)
-            break
-        else:
-            break
-    return [*out, tuple(left)] if len(left) == 3 else out
+def doubled_area(a: tuple, b: tuple, c: tuple) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
+
+
+def halved(ring: list[tuple[float, float]], part: list[int]) -> tuple[list[int], list[int]] | None:
+    """Two parts of a counter-clockwise part, along a diagonal from its lowest corner or across it; None where there is none."""
+    n = len(part)
+    k = min(range(n), key=lambda i: ring[part[i]][::-1])
+    part = part[k:] + part[:k]
+    # the lowest corner is convex: a diagonal leads to the corner deepest within it, or joins its neighbours
+    low, after, before = (ring[part[i]] for i in (0, 1, -1))
+    if doubled_area(before, low, after) <= 0:
+        return None
+    within = [i for i in range(2, n - 1) if doubled_area(low, after, ring[part[i]]) >= 0 and doubled_area(after, before, ring[part[i]]) >= 0 and doubled_area(before, low, ring[part[i]]) >= 0]
+    if not within:
+        return part[1:], [part[-1], part[0], part[1]]
+    deep = max(within, key=lambda i: doubled_area(after, before, ring[part[i]]))
+    return part[: deep + 1], [part[0], *part[deep:]]
+
+
+def triangulated(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Triangles (vertex numbers) of a simple polygon, by cutting parts in two along diagonals.
+
+    Corners that repeat the one before are left out. A ring of under three corners, or one
+    with a part that has no diagonal (no area, or sides that cross), has no triangles.
+    """
+    whole = [i for i, p in enumerate(ring) if p != ring[i - 1]] if len(ring) > 1 else []
+    if plain_area([ring[i] for i in whole]) < 0:
+        whole.reverse()
+    out, todo = [], [whole] if len(whole) > 2 else []
+    while todo:
+        part = todo.pop()
+        if len(part) == 3:
+            if doubled_area(*(ring[i] for i in part)) > 0:
+                out.append(tuple(part))
+            continue
+        cut = halved(ring, part)
+        if cut is None:
+            return []
+        todo += cut
+    return out
 
 
 def triangles(polygons: DataFrame) -> DataFrame:
@@ -135,7 +152,7 @@ def triangles(polygons: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(i, *t) for i, ring in zip(pdf["id"], pdf["ring"], strict=True) for t in ear_clip([(p["x"], p["y"]) for p in ring])]
+            rows = [(i, *t) for i, ring in zip(pdf["id"], pdf["ring"], strict=True) for t in triangulated([(p["x"], p["y"]) for p in ring])]
             yield pd.DataFrame(rows, columns=["id", "a", "b", "c"])
 
     return polygons.select("id", "ring").mapInPandas(run, "id string, a int, b int, c int")

@@ -230,3 +230,38 @@ def test_wide_holes_are_filled_from_the_nearest_however_far(spark):
         assert got[r, c] == a[k[1], k[2]]
     none = zonal.nearest_fill(pixels(spark, np.full((3, 9), np.nan)), 2)
     assert none.filter("z is null").count() == 27
+
+
+def test_quantiles_by_rank_are_the_built_in_ones(spark):
+    from orograph.functions.ranks import quantiles
+
+    rows = [(s, None if i % 17 == 3 else float((i * 7919) % 101)) for s, n in (("a", 500), ("b", 1), ("c", 333), (None, 40)) for i in range(n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "scene string, z double").repartition(5)
+    one = {r.scene: (r.m, r.q) for r in quantiles(df, ["scene"], m=("z", 0.5), q=("z", 0.01, 0.9)).collect()}
+    two = {r.scene: (r.m, r.q) for r in quantiles(df, ["scene"], most=0, m=("z", 0.5), q=("z", 0.01, 0.9)).collect()}
+    assert set(one) == set(two) == {"a", "b", "c", "d", None}
+    for k, (m, q) in one.items():
+        assert two[k][0] == (None if m is None else pytest.approx(m))
+        assert (two[k][1] or []) == pytest.approx(q or [])
+
+
+def test_structure_width_of_blocks(spark):
+    from orograph.operators import zonal
+
+    inside = lambda r, c: 5 <= r < 14 and 5 <= c < 30 or 20 <= r < 23 and 3 <= c < 60
+    rows = [(s, r, c, inside(r, c)) for s in ("x", "y") for r in range(40) for c in range(64)]
+    df = spark.createDataFrame(rows, "scene string, r int, c int, inside boolean")
+    far = {(r.r, r.c): r.distance for r in zonal.distance(df.filter("scene = 'x'")).collect()}
+    assert far[9, 17] == 5.0 and far[5, 5] == 1.0 and far[21, 30] == 2.0 and far[0, 0] == 0.0
+    got = {r.scene: r.width for r in zonal.structure_width(df).collect()}
+    assert got == {"x": 10.0, "y": 10.0}
+
+
+def test_triangulation_of_awkward_rings():
+    from orograph.operators.structures import doubled_area, triangulated
+
+    comb = [(0, 0), (9, 0), (9, 5), (8, 1), (7, 5), (6, 1), (5, 5), (4, 1), (3, 5), (2, 1), (0, 5)]
+    for ring in (comb, comb[::-1], [(0, 0), (0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], [(0, 0), (2, 0), (4, 0), (4, 3), (0, 3)]):
+        whole = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])))
+        assert sum(doubled_area(*(ring[i] for i in t)) for t in triangulated(ring)) == pytest.approx(whole)
+    assert triangulated([]) == triangulated([(1, 1)]) == triangulated([(0, 0), (1, 1), (2, 2), (3, 3)]) == []
