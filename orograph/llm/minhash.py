@@ -391,9 +391,10 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, repeats: bo
         pairs = materialize(pairs if dense else plausible(pairs, sketch), "candidates")
         n = pairs.count()
         if n:
-            first = pairs.filter("chain")
-            linker.confirm(first)
-            rest = materialize(linker.apart(pairs.filter("not chain")), "rest")
+            # a row's best in a crowded region is as good in any tree, so one pass does for all of them
+            if not dense:
+                linker.confirm(pairs.filter("chain"))
+            rest = materialize(linker.apart(pairs if dense else pairs.filter("not chain")), "rest")
             first = rest.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b")
             first = materialize(first, "best")
             n = first.count()
