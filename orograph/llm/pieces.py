@@ -10,12 +10,11 @@ builds each distinct part once and samples all its uses with arrays.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from orograph.llm.textnp import U, buffers, chunks, distinct_stretches, mix64
 from orograph.llm.vocab import SPACE, VOCABULARY, Trie, byte_ids, code_points, pieces, step, uniform
@@ -25,6 +24,8 @@ LITERAL = 0x110000
 ALPHA, LEAST = 5e-4, -40.0
 #: Bytes of text that a task spreads over lattices at a time.
 CHUNK = 1 << 20
+#: Ids decoded at once, about.
+IDS_AT_ONCE = 1 << 18
 
 
 class Model:
@@ -223,44 +224,42 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPH
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``encoded`` with ``decoded``: the text of ``ids`` (null ids: empty)."""
+    """``encoded`` with ``decoded``: the text of ``ids``.
+
+    Null and empty ids give an empty text, long ones are decoded whole, repeated rows
+    fare alike; an empty table gives no rows; other columns pass through (one named
+    decoded is replaced).
+    """
     model = encoded.sparkSession.sparkContext.broadcast(Model(vocabulary, ALPHA))
     base = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                ids = piece.column("ids")
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                n = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                texts = spell(model.value, flat, np.concatenate([[0], np.cumsum(n)]))
+            n = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offs, at = np.concatenate([[0], np.cumsum(n)]), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(offs, offs[at] + IDS_AT_ONCE, "right")) - 1)
+                piece, bounds, at = batch.slice(at, end - at), offs[at : end + 1] - offs[at], end
+                flat = piece.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = spell(model.value, flat, bounds)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], names=[*piece.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{fields}, decoded string")
 
 
-DIGESTS = "doc_id long, n_pieces long, ids_sha256 string, text_sha256 string, decoded_sha256 string, lossless boolean"
-
-
 def round_trip(docs: DataFrame, *, vocabulary: str = VOCABULARY, alpha: float = ALPHA, seed: int = 1) -> DataFrame:
-    """doc_id, n_pieces, digests of ids (32-bit little-endian), text and decoded text, and lossless: each text encoded and decoded again.
+    """doc_id, n_pieces, digests of ids (comma-joined), text and decoded text, and lossless: each text encoded and decoded again.
 
-    Rows are as those of ``encode``; ids and texts stay in the task.
+    Rows are as those of ``encode`` and ``decode``, one after the other in a task, so
+    neither ids nor texts are shuffled or written; a null text counts as empty.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Model(vocabulary, alpha))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in chunks(batch, most=CHUNK):
-                ids, bounds = sample(model.value, piece.column("text"), row_keys(piece), seed)
-                raw = ids.astype("<i4")
-                buf, offs = buffers(piece.column("text"))
-                digests = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                texts = [hashlib.sha256(buf[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-                decoded = [hashlib.sha256(x).hexdigest() for x in spell(model.value, ids, bounds)]
-                same = [x == y for x, y in zip(texts, decoded, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "text_sha256", "decoded_sha256", "lossless"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    t = decode(encode(docs.select("doc_id", "text"), vocabulary=vocabulary, alpha=alpha, seed=seed), vocabulary=vocabulary)
+    text = F.coalesce("text", F.lit(""))
+    digests = [
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(text, 256).alias("text_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
+    return t.select("doc_id", *digests, (text == F.col("decoded")).alias("lossless"))

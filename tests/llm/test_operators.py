@@ -36,6 +36,24 @@ def test_sentencepiece_round_trip(docs, no_docs, rows):
     assert again == {(r.doc_id, r.text_sha256): r.ids_sha256 for r in got}
 
 
+def test_sentencepiece_decodes_what_was_encoded(spark):
+    from orograph.llm.pieces import decode, encode, round_trip
+
+    long = "".join(f"Stretch {k} of \u00e9 very  long text\n" for k in range(60_000))
+    rows = [(1, long, "d"), (2, None, "d"), (3, "", None), (4, " a ", "d"), (4, " a ", "d"), (None, "x" * 70_000, "d"), (5, long[:700], "d")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, decoded string").coalesce(1)
+    encoded = encode(table)
+    got = decode(encoded).collect()
+    assert Counter((r.doc_id, r.decoded) for r in got) == Counter((d, t or "") for d, t, _ in rows)
+    ids = {r.doc_id: r.ids for r in got}
+    assert len(ids[1]) > 1 << 18 and ids[2] == ids[3] == []
+    digests = {r.doc_id: (r.n_pieces, r.ids_sha256, r.lossless) for r in round_trip(table).collect()}
+    assert digests == {d: (len(i), sha(",".join(map(str, i))), True) for d, i in ids.items()}
+    nothing = decode(encoded.limit(0)).collect()
+    missing = decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()
+    assert nothing == [] and missing[0].decoded == ""
+
+
 def test_sentencepiece_sampling_follows_the_lattice():
     from orograph.llm import pieces, vocab
 
