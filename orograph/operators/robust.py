@@ -54,6 +54,15 @@ def affine(points: DataFrame, by: list[str], *, rounds: int = 5, least: int = 10
     return out.select(*by, F.when(F.col("ok"), F.coalesce("a", F.lit(1.0))).otherwise(F.lit(1.0)).alias("a"), F.when(F.col("ok"), F.coalesce("b", F.lit(0.0))).otherwise(F.lit(0.0)).alias("b"))
 
 
+def affine_scores(px: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, n, rmse_raw, rmse_affine): ref against pred as it is and against a pred + b of the group's robust fit."""
+    t = px.filter("pred is not null and ref is not null")
+    fit = affine(t.select(*by, F.col("pred").alias("x"), F.col("ref").alias("y")), by)
+    rmse = lambda x: F.sqrt(F.avg((x - F.col("ref")) ** 2))
+    scores = [F.count(F.lit(1)).alias("n"), rmse(F.col("pred")).alias("rmse_raw"), rmse(F.col("a") * F.col("pred") + F.col("b")).alias("rmse_affine")]
+    return t.join(fit, by).groupBy(*by, "a", "b").agg(*scores)
+
+
 def plane(px: DataFrame, *, rounds: int = 3) -> DataFrame:
     """(scene, p, q, o): z = p x + q y + o with x, y the column and row scaled to -1..1 of the scene."""
     dims = px.groupBy("scene").agg(F.max("r").alias("_h"), F.max("c").alias("_w"))

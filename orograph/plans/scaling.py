@@ -18,6 +18,10 @@ def robust_affine_irls(spark, d):
     return six(robust.affine(t.select("scene", F.col("pred").alias("x"), F.col("ref").alias("y")), ["scene"]))
 
 
+def alignment_affine(spark, d):
+    return six(robust.affine_scores(a.pred_ref(a.holed(a.grid(spark, d))), ["scene"]))
+
+
 def detrend_plane_irls(spark, d):
     return six(robust.plane(a.grid(spark, d)))
 
@@ -130,7 +134,7 @@ def ground_consistency(spark, d):
     return six(fusion.ground_consistency(a.grid(spark, d)))
 
 
-QUERIES = [robust_affine_irls, detrend_plane_irls, ground_level_histogram, scale_known_height, scale_gcps, scale_learned_prior, ghsl_prior, scale_cross_check, scale_fusion, kfold_ratio_cv,
+QUERIES = [robust_affine_irls, alignment_affine, detrend_plane_irls, ground_level_histogram, scale_known_height, scale_gcps, scale_learned_prior, ghsl_prior, scale_cross_check, scale_fusion, kfold_ratio_cv,
            pixel_fusion_ivw, pixel_fusion_stacked, fusion_calibration, rotation_ensemble, welford_uncertainty, confidence_report, depth_sanity, informative_test, ground_consistency]
 
 
@@ -174,6 +178,7 @@ PASSES = """ps AS (SELECT scene, r, c, pass, z * (pass + 1) + pass * 0.5::DOUBLE
 PX = "scene r c"
 ORACLE = {
     "robust_affine_irls": sql6(f"WITH {G}, {HOLED}, {PR}, p0 AS (SELECT pred AS x, ref AS y FROM pr WHERE pred IS NOT NULL), {_irls_rounds('p0', _affine, 'y - a * x - b', 5)} SELECT 'g' AS scene, a, b FROM c5", "a b", "scene"),
+    "alignment_affine": sql6(f"WITH {G}, {HOLED}, {PR}, p0 AS (SELECT pred AS x, ref AS y FROM pr WHERE pred IS NOT NULL), {_irls_rounds('p0', _affine, 'y - a * x - b', 5)} SELECT 'g' AS scene, a, b, count(*) AS n, sqrt(avg((x - y) ** 2)) AS rmse_raw, sqrt(avg((a * x + b - y) ** 2)) AS rmse_affine FROM p0 CROSS JOIN c5 GROUP BY a, b", "a b rmse_raw rmse_affine", "scene n"),
     "detrend_plane_irls": sql6(f"WITH {G}, d AS (SELECT max(r) / 2.0::DOUBLE AS h, max(c) / 2.0::DOUBLE AS w FROM g), p0 AS (SELECT (c - w) / greatest(w, 1) AS x, (r - h) / greatest(h, 1) AS y, z FROM g, d), {_irls_rounds('p0', _plane, 'z - p * x - q * y - o', 3)} SELECT 'g' AS scene, p, q, o FROM c3", "p q o", "scene"),
     "ground_level_histogram": sql6(f"WITH {G}, {GROUND} SELECT 'g' AS scene, ground FROM gl", "ground", "scene"),
     "scale_known_height": sql6(f"WITH {G}, t AS (SELECT unnest(['tallest', 'tall', 'typical']) AS reference, unnest([0.99, 0.95, 0.60]) AS p), q AS (SELECT 'tallest' AS reference, quantile_cont(z, 0.99) AS q FROM g UNION ALL SELECT 'tall', quantile_cont(z, 0.95) FROM g UNION ALL SELECT 'typical', quantile_cont(z, 0.60) FROM g) SELECT 'g' AS scene, reference, 40.0::DOUBLE / greatest(quantile_cont(z, 0.5), 1e-9) AS alpha FROM g JOIN q ON z >= q GROUP BY reference", "alpha", "scene reference"),

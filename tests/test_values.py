@@ -110,6 +110,14 @@ def test_robust_affine_ignores_outliers(spark):
     assert r.a == pytest.approx(2, abs=0.02) and r.b == pytest.approx(7, abs=3)
 
 
+def test_affine_scores_by_group(spark):
+    rows = [(k, float(x), None if x == 3 else g * x + o) for k, g, o in (("s", 2.0, 7.0), ("t", 0.5, -1.0)) for x in range(40)] + [("few", 1.0, 4.0)]
+    got = {r.k: r for r in robust.affine_scores(spark.createDataFrame(rows, "k string, pred double, ref double"), ["k"]).collect()}
+    assert {k: r.n for k, r in got.items()} == {"s": 39, "t": 39, "few": 1}
+    assert got["s"].rmse_affine == pytest.approx(0, abs=1e-6) and got["t"].rmse_affine == pytest.approx(0, abs=1e-6)
+    assert got["s"].rmse_raw > 7 and got["few"].rmse_affine == got["few"].rmse_raw == 3
+
+
 @pytest.mark.parametrize("y", [0.0, 3.0])
 def test_degenerate_fits_are_refused(spark, y):
     t = spark.createDataFrame([("s", 1.0, y)] * 30, "k string, x double, y double")
