@@ -67,5 +67,24 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.variants import variants
+
+    return variants(load(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.chat import format_digests, with_probe
+
+    return format_digests(with_probe(load(spark, sf_dir, "conversations")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orograph.llm.repair import damaged, repair_report
+
+    return repair_report(damaged(load(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_topk, op6_suffix_array, op7_mixing, op8_quality, op9_minhash, op10_substrings)}
+    made = (op1_sentencepiece, op2_warc, op3_token_counts, op4_pii, op5_topk, op6_suffix_array, op7_mixing, op8_quality, op9_minhash, op10_substrings, op11_variants, op12_chat, op13_repair)
+    return {f.__name__: f for f in made}
