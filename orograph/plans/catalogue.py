@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orograph.plans import rasters, records, regions, scalars, scaling, scans, scoring, structures
+from orograph.plans import city, rasters, records, regions, scalars, scaling, scans, scoring, structures
 
-MODULES = [scoring, rasters, scaling, regions, records, structures, scalars, scans]
+MODULES = [scoring, rasters, scaling, regions, records, structures, scalars, scans, city]
 
 
 def queries() -> dict:

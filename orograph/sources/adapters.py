@@ -30,6 +30,34 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.lit("g").alias("scene"), "r", "c", clean(F.col("z").cast("double")).alias("z"), "label")
 
 
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scenes of unequal size (four, two and one sevenths of the vectors, 64, 48 and 32 wide)."""
+    e = load(spark, sf_dir, "embeddings")
+    n, k = F.floor(F.col("vec_id") / 7), F.col("vec_id") % 7
+    scene = F.when(k < 4, "a").when(k < 6, "b").otherwise("c")
+    r = F.when(k < 4, n * 4 + k).when(k < 6, n * 2 + k - 4).otherwise(n).cast("int")
+    t = e.select(scene.alias("scene"), r.alias("r"), F.posexplode("embedding").alias("c", "z"))
+    width = F.when(F.col("scene") == "a", 64).when(F.col("scene") == "b", 48).otherwise(32)
+    return t.filter(F.col("c") < width).select("scene", "r", "c", clean(F.col("z").cast("double")).alias("z"))
+
+
+def city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scenes`` with ``ground``, ``height`` over it and ``block``: a building in most blocks of 16 pixels, as high as the values at the block's corner say.
+
+    It has a higher part, or lacks a corner, by the second value.
+    """
+    t = scenes(spark, sf_dir).withColumn("br", F.floor(F.col("r") / 16).cast("int")).withColumn("bc", F.floor(F.col("c") / 16).cast("int"))
+    at = lambda j: F.max(F.when(F.col("c") % 16 == j, F.col("z")))
+    blocks = t.filter((F.col("r") % 16 == 0) & (F.col("c") % 16 < 2)).groupBy("scene", "br", "bc").agg(at(0).alias("e0"), at(1).alias("e1"))
+    t = t.join(blocks, ["scene", "br", "bc"])
+    y, x = F.col("r") % 16, F.col("c") % 16
+    built = (F.col("e0") > -0.1) & y.between(3, 12) & x.between(2, 11) & ~((F.col("e1") < 0) & (y > 5) & (x > 5))
+    more = F.when((F.col("e1") > 0) & (y < 8) & (x < 7), 9.0).otherwise(0.0)
+    height = F.when(built, F.lit(6.0) + F.floor(F.abs("e0") * 1000) % 13 + more).otherwise(0.0)
+    ground = F.lit(100.0) + F.lit(0.05) * F.col("c") + F.lit(0.02) * F.col("r")
+    return t.select("scene", "r", "c", "z", ground.alias("ground"), height.alias("height"), (F.col("br") * 8 + F.col("bc")).alias("block"))
+
+
 def holed(px: DataFrame) -> DataFrame:
     """The grid with every 97th cell missing."""
     return px.withColumn("z", F.when((F.col("r") * 64 + F.col("c")) % 97 != 0, F.col("z")))
