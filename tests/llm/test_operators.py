@@ -572,13 +572,33 @@ def test_recall_of_links_just_above_the_threshold(spark):
     assert sum(found) >= 0.98 * sum(links)
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_all_pairs_of_a_region_are_compared(spark, monkeypatch, block):
+@pytest.mark.parametrize("most", [7, 4096])
+def test_all_that_is_apart_in_a_region_is_compared(spark, most):
     from orograph.llm import minhash
 
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    rows = [(g, n, 1000 * g + i, 1000 * g + i % 5, bytes(192)) for g, n in enumerate((2, 3, 40, 61)) for i in range(n)]
-    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3]}
-    df = spark.createDataFrame(rows, "region long, n long, c long, comp long, sketch binary")
-    got = [(r.a, r.b) for r in minhash.all_pairs(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for g, n in enumerate((2, 3, 40, 61)):
+        core = rng.integers(0, 1 << 60, 80)
+        for i in range(n):
+            c = 1000 * g + i
+            own = sets[c - 1][-21:] if i % 4 == 1 else rng.integers(0, 1 << 60, 21)
+            sets[c] = np.concatenate([core, own[: 21 - i % 3], rng.integers(0, 1 << 60, i % 3)])
+            rows.append((g, -(-n // most), c, 1000 * g + i // 8 * 8 if i % 8 < 2 else c, bytes(192), sorted(map(int, sets[c]))))
+    df = minhash.blocked(spark.createDataFrame(rows, "region long, nb int, c long, comp long, sketch binary, shingles array<long>"))
+    similar = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3]}
+    assert {r.c for r in minhash.partners(df).collect()} == {c for p in pairs for c in p}
+    got = [(r.a, r.b) for r in minhash.confirmed(df).collect()]
+    assert len(got) == len(set(got)) and set(got) <= {p for p in pairs if similar(*p)}
+
+    def components(links):
+        up = {r[2]: r[3] for r in rows}
+        for _ in range(len(up)):
+            for a, b in links:
+                low = min(up[a], up[b])
+                up = {c: low if x in (up[a], up[b]) else x for c, x in up.items()} if up[a] != up[b] else up
+        return up
+
+    assert components(got) == components({p for p in pairs if similar(*p)})
+    assert len(got) < len(rows) * (1 if most > 99 else 9) < len(pairs) * 9
