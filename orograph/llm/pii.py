@@ -16,6 +16,7 @@ as there are such combinations, whatever the number of documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ STRICT = {
 LABELERS = ["strict", "gazetteer", "cue", "alone", "variety"]
 NO, YES, NONE = 0, 1, 2
 BINS = {"length": 6, "digits": 5}
-FOUND = "array<struct<start:int,end:int,match:string>>"
+FOUND = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -68,16 +69,30 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(xs: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running folds of an array by an associative ``join`` (its second argument may be null), in as many passes as its length has binary digits."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs))).cast("int") - 1), lambda j: F.pow(F.lit(2.0), j).cast("int"))
+    whole = F.aggregate(steps, xs, lambda acc, step: F.transform(acc, lambda x, i: join(x, F.get(acc, i - step))))
+    return F.when(F.size(xs) > 1, whole).otherwise(xs)
+
+
 def located(parts: Column) -> Column:
-    """Start, end (code points) and text of every second piece."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(FOUND).alias("found"))
+    """Start, end (code points) and text of every second piece, and what stands right before and after it."""
+    empty = F.array().cast(FOUND)
+    ends = running(F.transform(parts, F.length), lambda x, y: x + F.coalesce(y, F.lit(0)))
+    piece = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
 
-    def add(acc, piece):
-        end = acc["at"] + F.length(piece)
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("match")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def one(at: Column, i: Column) -> Column:
+        before, after = F.concat(piece(i - 2), piece(i - 1)), F.concat(piece(i + 1), piece(i + 2))
+        return F.struct(F.get(at, i - 1).alias("start"), F.get(at, i).alias("end"), piece(i).alias("match"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, add, lambda acc: acc["found"])).otherwise(F.array().cast(FOUND))
+    found = bound(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: one(at, i)))
+    return F.when(F.size(parts) > 1, found).otherwise(empty)
 
 
 def n_digits(s: Column) -> Column:
@@ -109,13 +124,11 @@ VALID = {
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "at_email": None, "credential": None}
 
 
-def votes(x: Column, text: Column, kind: str) -> list[Column]:
+def votes(x: Column, kind: str) -> list[Column]:
     """What each labeler says about a span: NO, YES or NONE."""
     m = x["match"]
-    before = F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
-    around = F.concat(before, F.lit(" "), F.substring(text, x["end"] + 1, NEAR))
-    left, right = F.substring(text, x["start"], 1), F.substring(text, x["end"] + 1, 1)
-    left = F.when(x["start"] == 0, "").otherwise(left)
+    around = F.concat(x["before"], F.lit(" "), x["after"])
+    left, right = F.right(x["before"], F.lit(1)), F.left(x["after"], F.lit(1))
     kinds = F.size(F.array_distinct(F.split(F.regexp_replace(m, r"[^A-Za-z0-9]", ""), "")))
     return [
         F.when(m.rlike(STRICT[kind]), YES).otherwise(NO),
@@ -126,13 +139,13 @@ def votes(x: Column, text: Column, kind: str) -> list[Column]:
     ]
 
 
-def described(found: Column, text: Column, kind: str) -> Column:
+def described(found: Column, kind: str) -> Column:
     """Spans as (kind, start, end, votes, length bin, digit bin); the matched text is left behind."""
 
     def one(x):
         n = F.greatest(F.length(x["match"]), F.lit(1))
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.array(*votes(x, text, kind)).alias("votes"),
+            F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.array(*votes(x, kind)).alias("votes"),
             F.least(F.floor(n / 8).cast("int"), F.lit(BINS["length"] - 1)).alias("length"), F.least(F.floor(n_digits(x["match"]) * BINS["digits"] / n).cast("int"), F.lit(BINS["digits"] - 1)).alias("digits"),
         )
 
@@ -142,6 +155,22 @@ def described(found: Column, text: Column, kind: str) -> Column:
 SPANS = "array<struct<kind:int,start:int,end:int,votes:array<int>,length:int,digits:int>>"
 
 
+def clear_of(wide: Column, base: Column) -> Column:
+    """The spans of ``wide`` that overlap none of ``base``: in the order of all starts, no base span before reaches in and none after starts within."""
+    tag = lambda spans, mine: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(mine).alias("mine"), x.alias("x")))
+    later = lambda xs: F.reverse(running(F.reverse(xs), F.least))
+
+    def keep(every: Column) -> Column:
+        reach = running(F.transform(every, lambda e: F.when(~e["mine"], e["x"]["end"]).otherwise(-1)), F.greatest)
+        begin = later(F.transform(every, lambda e: F.when(~e["mine"], e["start"]).otherwise(2**31 - 1)))
+        both = F.struct(reach.alias("reach"), begin.alias("begin"))
+        ok = lambda s: lambda e, i: F.struct((e["mine"] & (F.get(s["reach"], i) <= e["start"]) & (F.get(s["begin"], i) >= e["x"]["end"])).alias("ok"), e["x"].alias("x"))
+        marked = bound(both, lambda s: F.transform(every, ok(s)))
+        return F.transform(F.filter(marked, lambda e: e["ok"]), lambda e: e["x"])
+
+    return bound(F.array_sort(F.concat(tag(wide, True), tag(base, False))), keep)
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_base`` and ``_wide``: the base spans that hold, and the candidates clear of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -153,11 +182,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
     t = t.withColumns({f"_f_{k}": located(F.col(f"_p_{k}")) for k in patterns})
     valid = {k: F.filter(F.col(f"_f_{k}"), VALID[k]) for k in BASE}
     t = t.withColumns({f"_f_{k}": valid[k] for k in BASE})
-    t = t.withColumn("_base", F.concat(*[F.when(F.size(f"_f_{k}") > 0, described(F.col(f"_f_{k}"), F.col("_text"), k)).otherwise(F.array().cast(SPANS)) for k in BASE]))
-    wide = F.concat(*[F.when(F.size(f"_f_{k}") > 0, described(F.col(f"_f_{k}"), F.col("_text"), k)).otherwise(F.array().cast(SPANS)) for k in ADDED])
+    t = t.withColumn("_base", F.concat(*[F.when(F.size(f"_f_{k}") > 0, described(F.col(f"_f_{k}"), k)).otherwise(F.array().cast(SPANS)) for k in BASE]))
+    wide = F.concat(*[F.when(F.size(f"_f_{k}") > 0, described(F.col(f"_f_{k}"), k)).otherwise(F.array().cast(SPANS)) for k in ADDED])
     t = t.withColumn("_wide", wide)
-    clear = F.filter("_wide", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    t = t.withColumn("_wide", F.when(F.size("_wide") > 0, clear).otherwise(F.col("_wide")))
+    t = t.withColumn("_wide", F.when((F.size("_wide") > 0) & (F.size("_base") > 0), clear_of(F.col("_wide"), F.col("_base"))).otherwise(F.col("_wide")))
     return t.drop("_text", *[f"_{a}_{k}" for a in "pf" for k in patterns])
 
 
@@ -261,6 +289,34 @@ def find(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", *n, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.concat("_base", "_added")).alias("spans"), F.size("_added").cast("long").alias("n_added"))
 
 
+#: Characters of a piece in which a text is cut up to replace spans.
+PIECE = 256
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each of ``spans`` (start, end, kind; sorted) replaced by its kind in brackets, but for those that start before one's end.
+
+    The text is cut into short pieces once, so that a stretch costs its own length.
+    """
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    before = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+
+    def put(s: Column) -> Column:
+        def stretch(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            some = F.array_join(F.slice(s["pieces"], first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substr(some, a % PIECE + 1, b - a)).otherwise("")
+
+        def one(x: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(s["before"], i - 1), F.lit(0))
+            return F.when(x["start"] >= at, F.concat(stretch(at, x["start"]), F.element_at(names, x["kind"] + 1))).otherwise("")
+
+        rest = stretch(F.coalesce(F.try_element_at(s["before"], F.lit(-1)), F.lit(0)), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), before.alias("before")), put)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars follows, all other columns are carried as they are.
 
@@ -274,13 +330,5 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = counts(spanned)
     _, _, post = reliabilities(found)
     t = spanned.withColumn("_spans", F.array_sort(F.transform(F.concat("_base", accepted(train(found, post))), lambda x: F.struct(x["start"], x["end"], x["kind"]))))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("_row.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(acc, x):
-        put = F.concat(acc["done"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["done"]).alias("done"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, 2**31 - 1)))
+    clean = replaced(F.col("_row.text"), F.col("_spans"))
     return t.withColumn("_row", F.when(F.size("_spans") > 0, with_text(F.col("_row"), clean, docs.columns)).otherwise(F.col("_row"))).select("_row.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -602,3 +603,53 @@ def test_all_that_is_apart_in_a_region_is_compared(spark, most):
 
     assert components(got) == components({p for p in pairs if similar(*p)})
     assert len(got) < len(rows) * (1 if most > 99 else 9) < len(pairs) * 9
+
+
+def test_pii_of_a_long_text_with_many_spans(spark):
+    from orograph.llm import pii
+
+    parts, spans, at = [], {"email": [], "ip": []}, 0
+    for i in range(25_000):
+        for kind, before, match in (("email", "é mail ", f"a{i}@ex{i % 70}.com"), ("ip", " host ", f"81.2.{i % 250}.{i % 199}")):
+            spans[kind].append((at + len(before), at + len(before) + len(match)))
+            parts += [before, match]
+            at += len(before) + len(match)
+    text = "".join(parts)
+    assert len(text) > 900_000
+    want = ",".join(f"{k}:{a}:{b}" for k in ("email", "ip") for a, b in spans[k])
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    got = pii.find(table).first()
+    assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == (25_000, 25_000, 0, 0) and got.base_sha256 == sha(want)
+    clean = pii.redacted(table).first().text
+    assert clean == "é mail [EMAIL] host [IP]" * 25_000
+    assert time.time() - start < 120
+
+
+def test_pii_running_folds_and_cuts(spark):
+    from orograph.llm import pii
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (0, 1, 2, 3, 7, 64, 65):
+        text = "".join(rng.choice(list("ab é😀\n"), 9 * n + 300 * (n == 7)))
+        spans = sorted((int(a), int(a) + int(w), int(k)) for a, w, k in zip(rng.integers(0, max(1, len(text)), n), rng.integers(1, 6, n), rng.integers(0, 9, n), strict=True) if a + w <= len(text))
+        wide = sorted((int(a), int(a) + 3) for a in rng.integers(0, 5 * n + 1, n))
+        rows.append((text, spans, wide, rng.integers(0, 9, n).tolist()))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int,kind:int>>, wide array<struct<start:int,end:int>>, xs array<int>")
+    base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    got = df.select(
+        "text", "spans", "wide", "xs", pii.replaced(F.col("text"), F.col("spans")).alias("clean"), pii.running(F.col("xs"), lambda x, y: x + F.coalesce(y, F.lit(0))).alias("sums"),
+        F.when((F.size("wide") > 0) & (F.size("spans") > 0), pii.clear_of(F.col("wide"), base)).otherwise(F.col("wide")).alias("clear"),
+    )
+    for r in got.collect():
+        assert r.sums == np.cumsum(r.xs).tolist()
+        out, at = "", 0
+        for s in r.spans:
+            if s.start >= at:
+                out += r.text[at : s.start] + f"[{pii.KINDS[s.kind].upper()}]"
+            at = max(at, s.end)
+        if r.spans:
+            assert r.clean == out + r.text[at:]
+        clear = [(w.start, w.end) for w in r.wide if not any(s.start < w.end and w.start < s.end for s in r.spans)]
+        assert sorted((w.start, w.end) for w in r.clear) == sorted(clear)
