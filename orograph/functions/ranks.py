@@ -7,6 +7,8 @@ and a wanted rank is found by how many of its group's rows each partition holds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -37,15 +39,15 @@ def at_ranks(values: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     return at.join(t.select("_i", "v"), "_i").select(*by, "rank", "v")
 
 
-def quantiles(df: DataFrame, by: list[str], most: int = MOST, **wanted: tuple) -> DataFrame:
-    """A row per group with each named quantile: name=(column, p), or (column, p, q, ...) for an array; nulls don't count.
+def quantiles(df: DataFrame, by: list[str], most: int = MOST, beside: Sequence[Column] = (), **wanted: tuple) -> DataFrame:
+    """A row per group with the aggregates ``beside`` and each named quantile: name=(column, p), or (column, p, q, ...) for an array; nulls don't count.
 
     Quantiles lie between two rows as in the built-in one.
     """
     if largest_group(df, by) <= most:
         shape = lambda ps: F.lit(ps[0]) if len(ps) == 1 else F.array(*[F.lit(float(p)) for p in ps])
-        return df.groupBy(*by).agg(*[F.percentile(c, shape(ps)).alias(k) for k, (c, *ps) in wanted.items()])
-    out = df.select(*by).distinct()
+        return df.groupBy(*by).agg(*beside, *[F.percentile(c, shape(ps)).alias(k) for k, (c, *ps) in wanted.items()])
+    out = df.groupBy(*by).agg(*beside) if beside else df.select(*by).distinct()
     for name, (c, *ps) in wanted.items():
         v = (F.col(c) if isinstance(c, str) else c).cast("double")
         values = df.select(*by, v.alias("v")).filter("v is not null")

@@ -20,6 +20,8 @@ from orograph.functions.ranks import at_ranks, quantiles
 from orograph.functions.tables import materialize
 
 TILE = 256
+#: Values of neighbourhoods that a task copies at once (64 MB).
+WINDOWED = 1 << 23
 
 
 def rows_of(scene: str = "scene"):
@@ -119,7 +121,10 @@ def gauss_weights(sigma: float) -> np.ndarray:
 def correlate(a: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Separable weighted sums; the outer ``len(w) // 2`` pixels are not to be used."""
     for axis in (0, 1):
-        a = np.apply_along_axis(np.convolve, axis, a, w[::-1], "same")
+        out = np.zeros_like(a)
+        for i, x in enumerate(w):
+            out += x * np.roll(a, len(w) // 2 - i, axis)
+        a = out
     return a
 
 
@@ -135,7 +140,11 @@ def ranked(a: np.ndarray, k: int, index: int) -> np.ndarray:
     """The element of a rank among each k x k neighbourhood."""
     half = k // 2
     view = np.lib.stride_tricks.sliding_window_view(np.pad(a, ((half, k - 1 - half),) * 2, mode="edge"), (k, k))
-    return np.partition(view.reshape(*view.shape[:2], k * k), index, axis=-1)[..., index]
+    out, rows = np.empty_like(a), max(1, WINDOWED // (a.shape[1] * k * k))
+    for s in range(0, len(a), rows):
+        some = view[s : s + rows]
+        out[s : s + rows] = np.partition(some.reshape(*some.shape[:2], k * k), index, axis=-1)[..., index]
+    return out
 
 
 def gaussian(px: DataFrame, sigma: float, column: str = "z", out: str = "low") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
+
 BANDS = (0.0, 2.0, 10.0, 30.0)
 
 
@@ -37,18 +39,19 @@ def stacked(px: DataFrame, weights: list[float], honesty: tuple[float, float], f
 
 def calibrate(px: DataFrame, floor: float = 0.3) -> DataFrame:
     """Honesty of each estimate against the truth y, and each band's best weight of a, in one row per band."""
-    honest = lambda h, s: F.percentile(F.abs(F.col(h) - F.col("y")) / F.greatest(F.col(s), F.lit(floor)), F.lit(0.5)) / 0.6745
+    honest = lambda h, s: (F.abs(F.col(h) - F.col("y")) / F.greatest(F.col(s), F.lit(floor)), 0.5)
     band = F.when(F.col("b_h") >= 30, 3).when(F.col("b_h") >= 10, 2).when(F.col("b_h") >= 2, 1).otherwise(0)
     d = F.col("b_h") - F.col("a_h")
-    t = px.withColumn("band", band).groupBy("band").agg(F.count(F.lit(1)).alias("n"), honest("a_h", "a_sig").alias("c_a"), honest("b_h", "b_sig").alias("c_b"), F.sum((F.col("b_h") - F.col("y")) * d).alias("num"), F.sum(d * d).alias("den"))
-    return t.select("band", "n", "c_a", "c_b", F.when(F.col("n") > 500, F.least(F.greatest(F.col("num") / F.greatest("den", F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))).alias("w_a"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum((F.col("b_h") - F.col("y")) * d).alias("num"), F.sum(d * d).alias("den")]
+    t = quantiles(px.withColumn("band", band), ["band"], beside=sums, c_a=honest("a_h", "a_sig"), c_b=honest("b_h", "b_sig"))
+    return t.select("band", "n", (F.col("c_a") / 0.6745).alias("c_a"), (F.col("c_b") / 0.6745).alias("c_b"), F.when(F.col("n") > 500, F.least(F.greatest(F.col("num") / F.greatest("den", F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))).alias("w_a"))
 
 
 def ensemble(passes: DataFrame) -> DataFrame:
     """Mean and spread per pixel of several passes (pass, z), each standardised by its median and MAD and put on the first pass's scale."""
-    mid = passes.groupBy("scene", "pass").agg(F.percentile("z", F.lit(0.5)).alias("_m"))
+    mid = quantiles(passes, ["scene", "pass"], _m=("z", 0.5))
     t = passes.select("scene", "r", "c", "pass", "z").join(mid, ["scene", "pass"])
-    mad = t.groupBy("scene", "pass").agg((F.lit(1.4826) * F.percentile(F.abs(F.col("z") - F.col("_m")), F.lit(0.5))).alias("_s"))
+    mad = quantiles(t, ["scene", "pass"], _mad=(F.abs(F.col("z") - F.col("_m")), 0.5)).select("scene", "pass", (F.lit(1.4826) * F.col("_mad")).alias("_s"))
     first = mid.join(mad, ["scene", "pass"]).filter("pass = 0").select("scene", F.col("_m").alias("_m0"), F.col("_s").alias("_s0"))
     t = t.join(mad, ["scene", "pass"]).join(first, "scene")
     return t.groupBy("scene", "r", "c").agg(*_mean_spread((F.col("z") - F.col("_m")) / F.greatest("_s", F.lit(1e-9)) * F.col("_s0") + F.col("_m0")))
@@ -66,7 +69,7 @@ def merged_uncertainty(passes: DataFrame) -> DataFrame:
 def confidence(px: DataFrame) -> DataFrame:
     """Median and p90 of positive spreads, and the median as a share of the height range."""
     s = F.when(F.col("spread") > 0, F.col("spread"))
-    q = px.groupBy("scene").agg(F.percentile(s, F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("h"))
+    q = quantiles(px, ["scene"], q=(s, 0.5, 0.9), h=("z", 0.01, 0.99))
     return q.select("scene", F.col("q")[0].alias("median_spread"), F.col("q")[1].alias("p90_spread"), (100.0 * F.col("q")[0] / F.greatest(F.col("h")[1] - F.col("h")[0], F.lit(1e-9))).alias("pct_of_range"))
 
 
@@ -86,6 +89,7 @@ def informative(px: DataFrame) -> DataFrame:
 
 def ground_consistency(px: DataFrame, *, cells: int = 4, pct: float = 0.15, least: int = 50) -> DataFrame:
     """Unevenness of the ground: range of the cells' low percentiles over the scene's range."""
-    dims = px.groupBy("scene").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.percentile("z", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    t = px.join(dims, "scene").groupBy("scene", F.floor(F.col("r") * cells / F.col("h")).alias("i"), F.floor(F.col("c") * cells / F.col("w")).alias("j")).agg(F.count("z").alias("n"), F.percentile("z", F.lit(pct)).alias("p"), F.max("q").alias("q"))
+    dims = quantiles(px, ["scene"], beside=[(F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")], q=("z", 0.01, 0.99))
+    t = px.join(dims, "scene").withColumn("i", F.floor(F.col("r") * cells / F.col("h"))).withColumn("j", F.floor(F.col("c") * cells / F.col("w")))
+    t = quantiles(t, ["scene", "i", "j"], beside=[F.count("z").alias("n"), F.max("q").alias("q")], p=("z", pct))
     return t.filter(F.col("n") > least).groupBy("scene").agg(F.count(F.lit(1)).alias("cells"), ((F.max("p") - F.min("p")) / F.greatest(F.max(F.col("q")[1]) - F.max(F.col("q")[0]), F.lit(1e-9))).alias("unevenness"))

@@ -86,8 +86,9 @@ def cosine_rate(step: Column, warm: int, total: int, low: float) -> Column:
     return F.when(step < warm, (step + 1) / F.lit(float(warm))).otherwise(F.lit(low) + F.lit(1 - low) * F.lit(0.5) * (1 + F.cos(F.lit(math.pi) * t)))
 
 
-def smoothed(t: DataFrame, by: list[str], order: str, value: str, keep: float, most: int = 60) -> DataFrame:
-    """Exponential moving average over the last ``most`` values (what is older weighs under keep ** most)."""
+def smoothed(t: DataFrame, by: list[str], order: str, value: str, keep: float) -> DataFrame:
+    """Exponential moving average of a group in its order, whole: values so old that their weight is under 2 ** -70 change no double."""
+    most = max(1, math.ceil(-70 * math.log(2) / math.log(keep)))
     w = W.partitionBy(*by).orderBy(order)
     xs = F.collect_list(value).over(w.rowsBetween(-most, 0))
     return t.withColumn("ema", F.aggregate(F.slice(xs, 2, most), xs[0], lambda acc, x: acc * keep + x * (1 - keep)))

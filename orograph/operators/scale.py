@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
+from orograph.functions.tables import materialize
+
 #: The percentile that a known height refers to.
 REFERENCE = {"tallest": 0.99, "tall": 0.95, "typical": 0.60}
 
 
 def ground_level(px: DataFrame, bins: int = 256, sigma: float = 3.0) -> DataFrame:
     """Per scene: the first clear peak of the smoothed height histogram, or the 10th percentile where there is none."""
-    q = px.groupBy("scene").agg(F.percentile("z", F.array(F.lit(0.005), F.lit(0.995), F.lit(0.1))).alias("q"))
+    q = quantiles(px, ["scene"], q=("z", 0.005, 0.995, 0.1))
     q = q.select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("p10"))
     t = px.join(q, "scene").filter((F.col("z") >= F.col("lo")) & (F.col("z") <= F.col("hi")))
     width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12))
@@ -44,8 +47,8 @@ def ground_level(px: DataFrame, bins: int = 256, sigma: float = 3.0) -> DataFram
 
 def known_height(px: DataFrame, height: float, reference: str) -> DataFrame:
     """alpha from one known height: the median of the detail above the percentile that the reference names."""
-    thr = px.groupBy("scene").agg(F.percentile("z", F.lit(REFERENCE[reference])).alias("thr"))
-    top = px.join(thr, "scene").filter(F.col("z") >= F.col("thr")).groupBy("scene").agg(F.percentile("z", F.lit(0.5)).alias("top"))
+    thr = quantiles(px, ["scene"], thr=("z", REFERENCE[reference]))
+    top = quantiles(px.join(thr, "scene").filter(F.col("z") >= F.col("thr")), ["scene"], top=("z", 0.5))
     return top.select("scene", (F.lit(height) / F.greatest("top", F.lit(1e-9))).alias("alpha"))
 
 
@@ -63,8 +66,8 @@ def from_points(px: DataFrame, points: DataFrame) -> DataFrame:
 
 def learned(px: DataFrame, detail: str, metric: str) -> DataFrame:
     """Median of the ratios of high percentiles of metric heights and detail."""
-    qs = F.array(*[F.lit(q) for q in (0.90, 0.95, 0.98, 0.99, 0.995)])
-    t = px.filter(F.col(detail).isNotNull() & F.col(metric).isNotNull()).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.percentile(detail, qs).alias("d"), F.percentile(metric, qs).alias("m"))
+    qs = (0.90, 0.95, 0.98, 0.99, 0.995)
+    t = quantiles(px.filter(F.col(detail).isNotNull() & F.col(metric).isNotNull()), ["scene"], beside=[F.count(F.lit(1)).alias("n")], d=(detail, *qs), m=(metric, *qs))
     one = t.select("scene", "n", F.explode(F.arrays_zip("d", "m")).alias("p")).filter((F.col("p.d") > 1e-9) & (F.col("p.m") > 1.0) & (F.col("n") >= 100))
     return one.groupBy("scene").agg(F.count(F.lit(1)).alias("used"), F.percentile(F.col("p.m") / F.col("p.d"), F.lit(0.5)).alias("alpha"))
 
@@ -72,7 +75,8 @@ def learned(px: DataFrame, detail: str, metric: str) -> DataFrame:
 def built_prior(cells: DataFrame, by: list[str], *, pct: float = 0.95, min_height: float = 3.0) -> DataFrame:
     """Prior height of a region from coarse cells (h): p95 of built ones to one decimal, or why not."""
     built = F.col("h") >= min_height
-    t = cells.groupBy(*by).agg(F.count("h").alias("n_cells"), F.count_if(built).alias("n_built"), F.percentile(F.when(built, F.col("h")), F.lit(pct)).alias("p"), F.avg(F.when(built, F.col("h"))).alias("built_mean"), F.max("h").alias("built_max"))
+    sums = [F.count("h").alias("n_cells"), F.count_if(built).alias("n_built"), F.avg(F.when(built, F.col("h"))).alias("built_mean"), F.max("h").alias("built_max")]
+    t = quantiles(cells, by, beside=sums, p=(F.when(built, F.col("h")), pct))
     reason = F.when(F.col("n_cells") == 0, "no cells").when(F.col("n_built") == 0, "nothing built")
     return t.select(*by, "n_cells", "n_built", F.when(reason.isNull(), F.floor(F.col("p") * 10 + 0.5) / 10).alias("prior"), "built_mean", "built_max", reason.alias("reason"))
 
@@ -102,9 +106,10 @@ def kfold_ratio(points: DataFrame, by: list[str], order: str, folds: int = 5) ->
     """Cross-validated ratio y / x: each fold's residuals under the others' median ratio, pooled."""
     t = points.withColumn("ratio", F.col("y") / F.col("x")).withColumn("fold", (F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1) % folds)
     train = t.select(*by, "ratio", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).filter("fold <> held")
-    train = train.groupBy(*by, "held").agg(F.percentile("ratio", F.lit(0.5)).alias("a"))
+    train = quantiles(train, [*by, "held"], a=("ratio", 0.5))
     e = t.join(train.withColumnRenamed("held", "fold"), [*by, "fold"]).withColumn("e", F.col("a") * F.col("x") - F.col("y"))
-    out = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.percentile(F.abs("e"), F.lit(0.9)).alias("p90_abs"), F.percentile("ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    mad = t.join(out.select(*by, F.col("q")[1].alias("mid")), by).groupBy(*by).agg(F.percentile(F.abs(F.col("ratio") - F.col("mid")), F.lit(0.5)).alias("mad"))
+    means = [F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias")]
+    out = materialize(quantiles(materialize(e, "held-out"), by, beside=means, p90_abs=(F.abs("e"), 0.9), q=("ratio", 0.25, 0.5, 0.75)), "held-out-errors")
+    mad = quantiles(t.join(out.select(*by, F.col("q")[1].alias("mid")), by), by, mad=(F.abs(F.col("ratio") - F.col("mid")), 0.5))
     sigma = F.lit(1.253) * F.lit(1.4826) * F.col("mad") / F.greatest(F.abs(F.col("q")[1]), F.lit(1e-9)) / F.sqrt("n")
     return out.join(mad, by).filter("n >= 10").select(*by, "n", "rmse", "mae", "bias", "p90_abs", (F.col("q")[2] / F.greatest(F.col("q")[0], F.lit(1e-9))).alias("iqr_ratio"), F.least(F.greatest(sigma, F.lit(0.01)), F.lit(2.0)).alias("sigma_rel"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.operators.records import contained
+
 
 def decimated(px: DataFrame, budget: int) -> DataFrame:
     """Block means by the smallest whole factor that brings a scene within ``budget`` pixels; incomplete blocks at the edge go."""
@@ -44,12 +46,15 @@ def cell_window(cells: DataFrame, box: tuple[float, float, float, float], size:
     return cells.filter(inside).withColumn("v", F.col("v") * F.lit(scale) + F.lit(offset)).filter(F.col("v").between(0.0, most))
 
 
-def local_file(tiles: DataFrame, files: DataFrame, mark: str) -> DataFrame:
-    """For each tile (id, left, bottom, right, top) the file (path and its box) named after it, else the first that covers it; only files whose name holds ``mark``."""
+def local_file(tiles: DataFrame, files: DataFrame, mark: str, cell: float = 1.0) -> DataFrame:
+    """For each tile (id, left, bottom, right, top) the file (path and its box) named after it, else the first that covers it; only files whose name holds ``mark``.
+
+    Files are dealt to the cells that they touch (``cell``: about a file's side), so a tile meets only those about it.
+    """
     f = files.filter(F.upper("path").contains(mark.upper())).withColumnsRenamed({k: f"f_{k}" for k in ("left", "bottom", "right", "top")})
     named = tiles.join(f.withColumn("id", F.regexp_extract("path", r"_([A-Za-z0-9]+)\.tif$", 1)), "id").select("id", F.lit(0).alias("rank"), "path")
-    over = (F.col("left") >= F.col("f_left")) & (F.col("right") <= F.col("f_right")) & (F.col("bottom") >= F.col("f_bottom")) & (F.col("top") <= F.col("f_top"))
-    covers = tiles.join(f, over).select("id", F.lit(1).alias("rank"), "path")
+    covers = contained(tiles, files.filter(F.upper("path").contains(mark.upper())).withColumn("id", F.col("path")), cell)
+    covers = covers.select(F.col("box").alias("id"), F.lit(1).alias("rank"), F.col("area").alias("path"))
     best = named.unionByName(covers).groupBy("id").agg(F.min(F.struct("rank", "path")).alias("m"))
     return tiles.select("id").join(best, "id", "left").select("id", F.col("m.path").alias("path"), (F.col("m.rank") == 0).alias("by_name"))
 

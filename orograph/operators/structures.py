@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
 from orograph.operators import focal, resample
 
 
@@ -51,13 +52,15 @@ def shadow_lengths(px: DataFrame, azimuth: float, *, least_px: int = 3, least_ra
     s, c = F.sin(F.radians(F.lit(azimuth))), F.cos(F.radians(F.lit(azimuth)))
     along, across = F.col("c") * -s + F.col("r") * c, -F.col("c") * c - F.col("r") * s
     rays = px.groupBy("scene", "label", F.rint(across).alias("ray")).agg(F.count(F.lit(1)).alias("n"), (F.max(along) - F.min(along) + 1).alias("run"))
-    return rays.filter(F.col("n") >= least_px).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("rays"), F.percentile("run", F.lit(0.5)).alias("length")).filter(F.col("rays") >= least_rays)
+    rays = quantiles(rays.filter(F.col("n") >= least_px), ["scene", "label"], beside=[F.count(F.lit(1)).alias("rays")], length=("run", 0.5))
+    return rays.filter(F.col("rays") >= least_rays)
 
 
 def footprints(px: DataFrame, *, least_px: int, least_h: float, most: int = 2000) -> DataFrame:
     """Regions as buildings, the largest of each scene: area, p75 height, box, share of vegetation; too small, low or green ones go."""
-    mid = px.groupBy("scene").agg(F.percentile("veg", F.lit(0.5)).alias("_v"))
-    t = px.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("area"), F.percentile("z", F.lit(0.75)).alias("height"), F.avg("veg").alias("veg"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right"))
+    mid = quantiles(px, ["scene"], _v=("veg", 0.5))
+    box = [F.count(F.lit(1)).alias("area"), F.avg("veg").alias("veg"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right")]
+    t = quantiles(px, ["scene", "label"], beside=box, height=("z", 0.75))
     t = t.join(mid, "scene").filter((F.col("area") >= least_px) & (F.col("height") >= least_h) & (F.col("veg") <= F.col("_v") + 0.3)).drop("_v")
     place = F.row_number().over(W.partitionBy("scene").orderBy(F.col("area").desc(), "label"))
     return t.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
@@ -85,7 +88,7 @@ def gradient_loss(px: DataFrame, scales: tuple[int, ...] = (1, 2, 4, 8)) -> Data
 def scale_free_loss(px: DataFrame) -> DataFrame:
     """Mean absolute difference after both surfaces are freed of median and mean deviation."""
     t = px.filter("pred is not null and ref is not null")
-    m = t.groupBy("scene").agg(F.percentile("pred", F.lit(0.5)).alias("mp"), F.percentile("ref", F.lit(0.5)).alias("mr"))
+    m = quantiles(t, ["scene"], mp=("pred", 0.5), mr=("ref", 0.5))
     t = t.join(m, "scene")
     d = t.groupBy("scene").agg(F.greatest(F.avg(F.abs(F.col("pred") - F.col("mp"))), F.lit(1e-6)).alias("dp"), F.greatest(F.avg(F.abs(F.col("ref") - F.col("mr"))), F.lit(1e-6)).alias("dr"))
     return t.join(d, "scene").groupBy("scene").agg(F.avg(F.abs((F.col("pred") - F.col("mp")) / F.col("dp") - (F.col("ref") - F.col("mr")) / F.col("dr"))).alias("loss"))

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
 from orograph.functions.tables import materialize
 
 
@@ -72,13 +73,13 @@ def planes(px: DataFrame, *, least: int = 30, keep: int = 20, strength: float =
         p, q = F.when(ok, (cxz * cyy - cyz * cxy) / d).otherwise(F.lit(0.0)), F.when(ok, (cyz * cxx - cxz * cxy) / d).otherwise(F.lit(0.0))
         return s.select(*by, "_n", p.alias("_p"), q.alias("_q"), (F.col("sz") / n - p * F.col("sx") / n - q * F.col("sy") / n).alias("_o"))
 
-    centre = px.groupBy(*by).agg(F.avg(F.col("c").cast("double")).alias("_cx"), F.avg(F.col("r").cast("double")).alias("_cy"), F.percentile("z", F.lit(0.5)).alias("_med"), F.count(F.lit(1)).alias("_size"))
+    centre = quantiles(px, by, beside=[F.avg(F.col("c").cast("double")).alias("_cx"), F.avg(F.col("r").cast("double")).alias("_cy"), F.count(F.lit(1)).alias("_size")], _med=("z", 0.5))
     t = px.join(centre, by)
     at = F.col("_p") * (F.col("c") - F.col("_cx")) + F.col("_q") * (F.col("r") - F.col("_cy")) + F.col("_o")
     one = t.join(fit(t), by).withColumn("_fit", at).withColumn("_res", F.col("z") - F.col("_fit"))
-    mid = one.groupBy(*by).agg(F.percentile("_res", F.lit(0.5)).alias("_m"))
-    one = one.join(mid, by)
-    mad = one.groupBy(*by).agg((F.lit(1.4826) * F.percentile(F.abs(F.col("_res") - F.col("_m")), F.lit(0.5)) + F.lit(1e-6)).alias("_s"))
+    one = materialize(one, "residuals")
+    one = one.join(quantiles(one, by, _m=("_res", 0.5)), by)
+    mad = quantiles(one, by, _mad=(F.abs(F.col("_res") - F.col("_m")), 0.5)).select(*by, (F.lit(1.4826) * F.col("_mad") + F.lit(1e-6)).alias("_s"))
     kept = one.join(mad, by).filter(F.abs("_res") < F.lit(2.5) * F.col("_s")).select(*by, "r", "c", "z", "_cx", "_cy")
     again = fit(kept).select(*by, F.col("_n").alias("_n2"), F.col("_p").alias("_p2"), F.col("_q").alias("_q2"), F.col("_o").alias("_o2"))
     t = one.join(again, by, "left")
@@ -100,7 +101,7 @@ def touching(px: DataFrame) -> DataFrame:
 
 def merge_candidates(px: DataFrame, tolerance: float, pct: float = 0.75) -> DataFrame:
     """Touching regions whose roof heights (a percentile) differ by at most ``tolerance``."""
-    h = px.groupBy("scene", "label").agg(F.percentile("z", F.lit(pct)).alias("h"))
+    h = quantiles(px, ["scene", "label"], h=("z", pct))
     t = touching(px).join(h.select("scene", F.col("label").alias("a"), F.col("h").alias("ha")), ["scene", "a"]).join(h.select("scene", F.col("label").alias("b"), F.col("h").alias("hb")), ["scene", "b"])
     return t.withColumn("gap", F.abs(F.col("ha") - F.col("hb"))).filter(F.col("gap") <= tolerance).select("scene", "a", "b", "gap")
 
@@ -198,13 +199,26 @@ def nearest_fill(px: DataFrame, radius: int) -> DataFrame:
     return px.join(best, ["scene", "r", "c"], "left").withColumn("z", F.coalesce("z", "_f")).drop("_f")
 
 
+#: Rows that are looked up together.
+BAND = 64
+
+
 def farther(holes: DataFrame, valid: DataFrame) -> DataFrame:
     """(scene, r, c, _f) of ``holes``: z of the nearest pixel of ``valid``, if the scene has any.
 
     Along each row with a valid pixel the nearest one to every column with a hole,
-    then along each of these columns the nearest of those.
+    then along each of these columns the nearest of those. A hole's own row says how far
+    it is at most, and so which rows a column needs, in bands of ``BAND`` rows.
     """
-    grid = valid.select("scene", "r").distinct().join(holes.select("scene", "c").distinct(), "scene")
+    own = valid.select("scene", "r", "c", F.col("c").alias("at")).join(holes.select("scene", "r").distinct(), ["scene", "r"], "left_semi")
+    own = own.unionByName(holes.select("scene", "r", "c", F.lit(None).cast(own.schema["at"].dataType).alias("at")))
+    o = W.partitionBy("scene", "r").orderBy("c")
+    most = F.least(F.col("c") - F.last("at", ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, 0)), F.first("at", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing)) - F.col("c"))
+    height = valid.groupBy("scene").agg(F.max("r").alias("_h"))
+    need = own.withColumn("_d", most).filter("at is null").join(height, "scene").withColumn("_d", F.coalesce("_d", F.greatest("_h", "r")))
+    band = lambda x: F.floor(x / BAND)
+    need = need.select("scene", "c", F.explode(F.sequence(band(F.greatest(F.col("r") - F.col("_d"), F.lit(0))), band(F.least(F.col("r") + F.col("_d"), F.col("_h") + BAND)))).alias("_b")).distinct()
+    grid = valid.select("scene", "r").distinct().withColumn("_b", band(F.col("r"))).join(need, ["scene", "_b"]).select("scene", "r", "c")
     v = F.struct("c", F.col("z").cast("double").alias("z"))
     t = valid.select("scene", "r", "c", v.alias("v"), F.lit(False).alias("probe"))
     t = t.unionByName(grid.select("scene", "r", "c", F.lit(None).cast(t.schema["v"].dataType).alias("v"), F.lit(True).alias("probe")))

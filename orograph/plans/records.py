@@ -98,7 +98,7 @@ def longtail_weights(spark, d):
 
 def job_log_tail(spark, d):
     t = load(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return rec.first_n(t, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id", "event_type")
+    return rec.first_n(t, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 200).select("user_id", "event_id", "event_type")
 
 
 def job_status_latest(spark, d):
@@ -131,7 +131,7 @@ ORACLE = {
     "sampling_weights": sql6("WITH n AS (SELECT split_part(p_type, ' ', 1) AS source, p_brand AS landscape, count(*) AS count FROM part GROUP BY ALL), w AS (SELECT *, CASE source WHEN 'STANDARD' THEN 0.4 WHEN 'SMALL' THEN 0.3 WHEN 'PROMO' THEN 0.2 WHEN 'ECONOMY' THEN 0.1 ELSE 0 END::DOUBLE / count(*) OVER (PARTITION BY source) / count AS w FROM n) SELECT source, landscape, count, w / greatest(sum(w * count) OVER (), 1e-12) AS weight FROM w", "weight", "source landscape count"),
     "sample_points_stratified": sql6(f"WITH {G}, d AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g), t AS (SELECT scene, r, c, z, r * 8 // h AS i, c * 8 // w AS j, ((r::BIGINT * w + c) * 2654435761) % 4294967296 AS k FROM g, d), q AS (SELECT i, j, quantile_cont(z, 0.95) AS q FROM t GROUP BY ALL) SELECT scene, i, j, arg_min(r, k) AS r, arg_min(c, k) AS c, arg_min(z, k) AS z FROM t JOIN q USING (i, j) WHERE z >= q GROUP BY ALL", "z", "scene i j r c"),
     "longtail_weights": sql6(f"WITH {G}, n AS (SELECT least(floor(ln(1 + abs(z) * 60.0::DOUBLE / 2) / 3.0::DOUBLE * 16), 15)::INT AS band, count(*) AS count FROM g GROUP BY 1), f AS (SELECT *, greatest(count / sum(count) OVER (), 1e-4) ** -0.5 AS f, sum(count) OVER () AS total FROM n) SELECT band, count, least(greatest(f / (sum(f * count) OVER () / total), 0.2), 10) AS weight FROM f", "weight", "band count"),
-    "job_log_tail": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5",
+    "job_log_tail": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200",
     "job_status_latest": "WITH s AS (SELECT user_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), c AS (SELECT user_id, count(*) AS lines, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id) SELECT user_id, status, lines, errors FROM s JOIN c USING (user_id)",
     "extension_counts": "WITH h AS (SELECT url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) SELECT lower(split_part(host, '.', -1)) AS suffix, count(*) AS n, count(*) FILTER (starts_with(url, 'https')) AS secure FROM h GROUP BY 1",
 }

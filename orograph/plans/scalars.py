@@ -140,7 +140,7 @@ ORACLE = {
     "viewer_slope": sql6(f"SELECT c_custkey, degrees(atan(tan(radians((c_custkey % 85)::DOUBLE)) / (c_custkey % 4 + 1))) AS slope, sqrt((c_custkey % 13) ** 2 + (c_custkey % 7) ** 2) AS ground, degrees(atan2((c_custkey % 5 - 2)::DOUBLE, greatest(sqrt((c_custkey % 13) ** 2 + (c_custkey % 7) ** 2), 1e-9))) AS grade_deg {C}", "slope ground grade_deg", "c_custkey"),
     "axis_ticks": sql6(f"WITH t AS (SELECT c_custkey, greatest(c_custkey::DOUBLE * 1.7::DOUBLE / 5, 1e-9) AS raw {C}), p AS (SELECT *, 10.0::DOUBLE ** floor(log10(raw)) AS p FROM t) SELECT c_custkey, p * CASE WHEN raw / p <= 1 THEN 1 WHEN raw / p <= 2 THEN 2 WHEN raw / p <= 2.5 THEN 2.5 WHEN raw / p <= 5 THEN 5 ELSE 10 END AS step FROM p", "step", "c_custkey"),
     "rate_schedule": sql6(f"SELECT c_custkey, CASE WHEN c_custkey < 100 THEN (c_custkey + 1) / 100.0::DOUBLE ELSE 0.01::DOUBLE + 0.99::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(greatest((c_custkey - 100) / 900.0::DOUBLE, 0), 1))) END AS rate {C}", "rate", "c_custkey"),
-    "smoothed_progress": sql6("WITH t AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS xs FROM events) SELECT event_id, list_reduce(xs, lambda acc, x: acc * 0.5::DOUBLE + x * 0.5::DOUBLE) AS ema FROM t", "ema", "event_id"),
+    "smoothed_progress": sql6("WITH t AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS xs FROM events) SELECT event_id, list_reduce(xs, lambda acc, x: acc * 0.5::DOUBLE + x * 0.5::DOUBLE) AS ema FROM t", "ema", "event_id"),
     "quarter_turn": sql6(f"WITH {G} SELECT scene, 63 - c AS r, r AS c, z FROM g", "z", "scene r c"),
     "label_downsample": f"WITH {G} SELECT scene, r // 4 AS r, c // 4 AS c, label FROM g WHERE r % 4 = 0 AND c % 4 = 0",
     "reference_ndsm": sql6(f"WITH {G}, t AS (SELECT r, c, CASE WHEN (r * 64 + c) % 5 <> 0 THEN z - 0.2::DOUBLE END AS z FROM g), o AS (SELECT i, j, i * i + j * j AS d2 FROM (SELECT unnest(range(-2, 3)) AS i) CROSS JOIN (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j BETWEEN 1 AND 4), f AS (SELECT a.r, a.c, arg_min(b.z, b.r * 1000 + b.c + d2 * 10000000000) AS f FROM t a CROSS JOIN o JOIN t b ON b.r = a.r + i AND b.c = a.c + j WHERE a.z IS NULL AND b.z IS NOT NULL GROUP BY ALL) SELECT 'g' AS scene, g.r, g.c, greatest(coalesce(CASE WHEN (g.r * 64 + g.c) % 11 <> 0 THEN g.z END - coalesce(t.z, f), 0), 0) AS ndsm FROM g JOIN t ON t.r = g.r AND t.c = g.c LEFT JOIN f ON f.r = g.r AND f.c = g.c", "ndsm", "scene r c"),

@@ -28,16 +28,25 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "2 hours
     return t.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def log_tail(events: DataFrame, keep: int = TAIL) -> DataFrame:
-    """After each batch the last ``keep`` lines of each job that has news; the state of a job never holds more."""
+def log_tail(events: DataFrame, keep: int = TAIL, *, late: str = "2 hours", idle_s: int = 86_400) -> DataFrame:
+    """After each batch the last ``keep`` lines of each job that has news.
+
+    The state of a job never holds more, and goes when the watermark (``late`` behind) is ``idle_s`` seconds past its last line.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         lines = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        newest = state.getCurrentWatermarkMs()
         for pdf in frames:
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             lines += list(zip(pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True))
         lines = sorted(lines)[-keep:]
         ids, types = [x[0] for x in lines], [x[1] for x in lines]
         state.update((ids, types))
+        state.setTimeoutTimestamp(newest + idle_s * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "lines": [len(ids)], "last_id": [ids[-1]], "status": [types[-1]]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, lines long, last_id long, status string", "ids array<long>, types array<string>", "update", GroupStateTimeout.NoTimeout)
+    return stamped(events).withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(update, "user_id long, lines long, last_id long, status string", "ids array<long>, types array<string>", "update", GroupStateTimeout.EventTimeTimeout)
