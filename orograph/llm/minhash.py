@@ -10,7 +10,7 @@ needs no confirming.
 
 The depth adapts to each region: where a prefix has more members than neighbours
 were looked at, and they are not yet one component, its rows are searched again one
-level deeper and eight times as wide, up to 64 neighbours. There a row's
+level deeper and eight times as wide, once. There a row's
 candidate in a tree is the one of another component whose signature agrees best.
 These rounds only join quickly what is easily joined. Last, in every region of the
 least depth that is still not one component, all pairs of rows of different
@@ -34,7 +34,7 @@ from orograph.llm.textnp import BYTE, U, Prefix, Words, chunks, mix64
 
 TREES, DEPTH, LEAST_DEPTH, NEAR = 16, 8, 3, 1
 #: Beyond so many neighbours a row's region is left to the comparison of all that is apart in it.
-MOST_NEAR = 64
+MOST_NEAR = 8
 #: Minima beside those of the trees, of which one byte each is kept.
 MORE = 64
 THRESHOLD = (80, 100)
@@ -280,7 +280,7 @@ def linked_sets(codes: np.ndarray, at: np.ndarray, comp: np.ndarray, candidates:
     def confirm(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        for js in np.split(j, np.flatnonzero(i[1:] != i[:-1]) + 1):
+        for js in [] if not len(i) else np.split(j, np.flatnonzero(i[1:] != i[:-1]) + 1):
             x, i = int(i[0]), i[len(js) :]
             js = js[comp[js] != comp[x]]
             if not len(js):

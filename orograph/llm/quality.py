@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orograph.functions.ranks import quantiles
 from orograph.functions.tables import materialize
 from orograph.llm.textnp import Words, chunks, distinct, distinct_stretches, sums
 
@@ -141,16 +142,16 @@ def with_group(measured: DataFrame) -> DataFrame:
 def learn_bands(measured: DataFrame, *, reach: float = 2.5, least_docs: int = 100, wide: float = 4.0, noise: float = 1.0) -> DataFrame:
     """One row per band (language or script) and length class (the power of two of a document's tokens): the limits of each measure.
 
-    Limits are the quartiles over all documents of the cell that pass the base rules,
+    Limits are the exact quartiles over all documents of the cell that pass the base rules,
     moved out by ``reach`` times their distance (``FLOORS`` at the least). Chance moves
     short texts further than long ones, hence the length classes. A cell of under
     ``least_docs`` documents takes its band's limits over all lengths, moved out by
     ``wide`` distances and by ``noise`` times the median over the root of the shortest length's words.
     """
     good = measured.filter("not base_failed")
-    stats = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
-    cells = good.groupBy("band", "length_class").agg(F.count(F.lit(1)).alias("n"), *stats)
-    whole = good.groupBy("band").agg(*[x.alias(f"all_{m}") for x, m in zip(stats, MEASURES, strict=True)])
+    quartiles = (0.25, 0.5, 0.75)
+    cells = quantiles(good, ["band", "length_class"], beside=[F.count(F.lit(1)).alias("n")], **{m: (m, *quartiles) for m in MEASURES})
+    whole = quantiles(good, ["band"], **{f"all_{m}": (m, *quartiles) for m in MEASURES})
     t, out = cells.join(whole, "band"), ["band", "length_class", "n"]
     for m in MEASURES:
         own = F.col("n") >= least_docs

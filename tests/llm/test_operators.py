@@ -586,6 +586,9 @@ def test_all_that_is_apart_in_a_region_is_compared(spark, most):
             own = sets[c - 1][-21:] if i % 4 == 1 else rng.integers(0, 1 << 60, 21)
             sets[c] = np.concatenate([core, own[: 21 - i % 3], rng.integers(0, 1 << 60, i % 3)])
             rows.append((g, -(-n // most), c, 1000 * g + i // 8 * 8 if i % 8 < 2 else c, bytes(192), sorted(map(int, sets[c]))))
+    for c, size in ((9000, 3), (9001, 30)):  # of sizes too different for any link
+        sets[c] = rng.integers(0, 1 << 60, size)
+        rows.append((9, 1, c, c, bytes(192), sorted(map(int, sets[c]))))
     df = minhash.blocked(spark.createDataFrame(rows, "region long, nb int, c long, comp long, sketch binary, shingles array<long>"))
     similar = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
     pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3]}
