@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orograph.plans import city, rasters, records, regions, scalars, scaling, scans, scoring, structures, terrain
+from orograph.plans import city, colours, rasters, records, regions, scalars, scaling, scans, scoring, structures, terrain
 
-MODULES = [scoring, rasters, scaling, regions, records, structures, scalars, scans, city, terrain]
+MODULES = [scoring, rasters, scaling, regions, records, structures, scalars, scans, city, terrain, colours]
 
 
 def queries() -> dict:

@@ -33,3 +33,21 @@ def test_ascii_rows(spark, tmp_path):
     px = spark.createDataFrame([("a", 0, 1, None), ("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("a", 1, 1, 3.5)], "scene string, r int, c int, z double")
     rasters.write_ascii_rows(px, str(tmp_path / "t"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["1.0 -9999.0", "2.0 3.5"]
+
+
+def test_grids_indexes_and_logs_are_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from orograph.sources import sinks
+
+    px = spark.range(600).select(F.lit("s").alias("scene"), F.floor(F.col("id") / 2).cast("int").alias("r"), (F.col("id") % 2).cast("int").alias("c"), F.col("id").cast("double").alias("z"))
+    on = sinks.on_grid(px.filter("r < 10"), px)
+    sinks.write_grid(on, str(tmp_path / "grid"))
+    back = spark.read.parquet(str(tmp_path / "grid"))
+    assert back.count() == 600 and back.filter("z is not null").count() == 20 and back.filter("band = 0").agg(F.max("r")).first()[0] == 255
+    for version in (1, 2):
+        sinks.write_index(px.select("scene").distinct(), str(tmp_path / "index"), version=version)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "index")).collect()] == [("s", 2)]
+    for step in range(3):
+        sinks.append_log(spark.createDataFrame([(step, 0.5)], "step int, loss double"), str(tmp_path / "log"))
+    assert sorted(r.step for r in spark.read.json(str(tmp_path / "log")).collect()) == [0, 1, 2]
