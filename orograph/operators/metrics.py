@@ -119,3 +119,19 @@ def class_scores(px: DataFrame, pred: str, ref: str) -> DataFrame:
     one = pairs.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("cls"), "p", "q", "count")
     inter = F.sum(F.when(F.col("p") == F.col("q"), F.col("count")).otherwise(0))
     return one.groupBy("cls").agg(inter.alias("intersection"), F.sum("count").alias("union"), (inter / F.sum("count")).alias("iou"))
+
+
+def validation(px: DataFrame, by: list[str], *, tall: float = 10.0) -> DataFrame:
+    """Scores of a model's heights and classes (pred, ref, cls_pred, cls) by group, each from one aggregate.
+
+    n, rmse, mae, r over pixels with both heights; rmse_tall, bias_tall where ref is ``tall`` or more; miou:
+    the mean over classes 1, 2, ... of intersection over union among pixels labelled so.
+    """
+    ok = finite_pairs(px).withColumn("e", F.col("pred") - F.col("ref"))
+    high = F.when(F.col("ref") >= tall, F.col("e"))
+    r = F.covar_pop("pred", "ref") / F.sqrt(F.greatest(F.var_pop("pred") * F.var_pop("ref"), F.lit(1e-12)))
+    heights = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), r.alias("r"), F.sqrt(F.avg(high**2)).alias("rmse_tall"), F.avg(high).alias("bias_tall"))
+    pairs = px.filter("cls >= 1").groupBy(*by, F.col("cls_pred").alias("p"), F.col("cls").alias("q")).count()
+    one = pairs.select(*by, "p", "q", "count", F.explode(F.array_distinct(F.array("p", "q"))).alias("k")).filter("k >= 1")
+    one = one.groupBy(*by, "k").agg((F.sum(F.when(F.col("p") == F.col("q"), F.col("count")).otherwise(0)) / F.sum("count")).alias("iou"))
+    return heights.join(one.groupBy(*by).agg(F.avg("iou").alias("miou")), by, "left")

@@ -129,3 +129,27 @@ def equalised(px: DataFrame, tile: int, clip: float, bins: int = 64) -> DataFram
     wy, wx = F.when(F.col("k.i") == 1, F.col("_y") - y0).otherwise(1 - (F.col("_y") - y0)), F.when(F.col("k.j") == 1, F.col("_x") - x0).otherwise(1 - (F.col("_x") - x0))
     t = t.withColumn("tr", F.least(y0 + F.col("k.i"), F.col("_tr")).cast("int")).withColumn("tc", F.least(x0 + F.col("k.j"), F.col("_tc")).cast("int")).withColumn("w", wy * wx)
     return t.join(lut, ["scene", "tr", "tc", "bin"]).groupBy("scene", "r", "c").agg(F.sum(F.col("w") * F.col("share")).alias("v"))
+
+
+def cropped(px: DataFrame, picks: DataFrame, size: int) -> DataFrame:
+    """(scene, r, c, z, level): a square of ``size`` pixels of each scene, turned and mirrored as ``picks`` (scene, y, x, turns, mirror) say.
+
+    The square starts at (y, x), is turned by quarter turns against the clock and then mirrored left to right. Beyond the
+    scene's far edges ``level`` repeats in mirror image without the edge itself, z is null.
+    """
+    d = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+    t = picks.join(d, "scene").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    n, i = size - 1, F.col("_r")
+    j = F.when(F.col("mirror"), n - F.col("_c")).otherwise(F.col("_c"))
+    k = F.col("turns") % 4
+    t = t.withColumn("_i", F.when(k == 0, i).when(k == 1, j).when(k == 2, n - i).otherwise(n - j) + F.col("y"))
+    t = t.withColumn("_j", F.when(k == 0, j).when(k == 1, n - i).when(k == 2, n - j).otherwise(i) + F.col("x"))
+
+    def folded(at: str, size: str):
+        m = F.greatest(2 * (F.col(size) - 1), F.lit(1))
+        return F.least(F.col(at) % m, m - F.col(at) % m).cast("int")
+
+    t = t.withColumn("r", F.least(folded("_i", "_h"), F.col("_h") - 1)).withColumn("c", F.least(folded("_j", "_w"), F.col("_w") - 1))
+    t = t.join(px.select("scene", "r", "c", "z", "level"), ["scene", "r", "c"])
+    inside = (F.col("_i") < F.col("_h")) & (F.col("_j") < F.col("_w"))
+    return t.select("scene", F.col("_r").alias("r"), F.col("_c").alias("c"), F.when(inside, F.col("z")).alias("z"), "level")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orograph.functions.tables import load
-from orograph.operators import colour
-from orograph.plans.base import SCENES, six, sql6
+from orograph.operators import colour, metrics, scalars
+from orograph.plans.base import CITY, SCENES, six, sql6
 from orograph.sources import adapters as a
 from orograph.sources import sinks
 
@@ -44,7 +44,20 @@ def reference_on_grid(spark, d):
     return six(sinks.on_grid(t.filter((F.col("r") + F.col("c")) % 5 != 0).withColumn("z", F.col("z") * 2), t))
 
 
-QUERIES = [colour_spaces, content_keys, working_sizes, source_union, reference_on_grid]
+def validation_scores(spark, d):
+    t = a.holed(a.city(spark, d)).withColumn("ref", F.when(F.col("z").isNotNull(), F.col("height")))
+    noise = ((F.col("r") * 31 + F.col("c") * 17) % 7 - 3).cast("double")
+    t = t.withColumn("pred", F.lit(0.9) * F.col("height") + F.lit(0.3) * noise).withColumn("cls", F.col("block") % 4).withColumn("cls_pred", F.when((F.col("r") + F.col("c")) % 6 == 0, 1).otherwise(F.col("block") % 4))
+    return six(metrics.validation(t, ["scene"]))
+
+
+def training_crops(spark, d):
+    t = a.city(spark, d).select("scene", "r", "c", F.col("height").alias("z"), (F.floor(F.col("z") * 1000) / 1000).alias("level"))
+    picks = spark.createDataFrame([("a", 11, 7, 1, True), ("b", 3, 2, 2, False), ("c", 5, 0, 3, True)], "scene string, y int, x int, turns int, mirror boolean")
+    return six(scalars.cropped(t, picks, 44))
+
+
+QUERIES = [colour_spaces, content_keys, working_sizes, source_union, reference_on_grid, validation_scores, training_crops]
 
 _HOLED = SCENES + ", hs AS (SELECT scene, r, c, CASE WHEN (r * 64 + c) % 97 <> 0 THEN z END AS z FROM ms)"
 _LIN = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92::DOUBLE ELSE (({0} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE) ** 2.4::DOUBLE END"
@@ -63,4 +76,6 @@ ORACLE = {
     "working_sizes": sql6(f"WITH {SIZED} SELECT scene, r, c, z FROM hs WHERE scene = 'b' UNION ALL SELECT scene, r, c, sum(z * wt) / sum(CASE WHEN z IS NOT NULL THEN wt END) FROM dn GROUP BY ALL UNION ALL SELECT scene, row_, col_, CASE WHEN coalesce(sum(wt) FILTER (z IS NOT NULL), 0) >= 0.5 THEN sum(wt * z) / sum(wt) FILTER (z IS NOT NULL) END FROM u2 GROUP BY ALL", "z", "scene r c"),
     "source_union": sql6("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, 'customers' AS source FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, 'suppliers' FROM supplier", "balance", "id segment source"),
     "reference_on_grid": sql6(f"WITH {SCENES} SELECT scene, r, c, CASE WHEN (r + c) % 5 <> 0 THEN z * 2 END AS z FROM ms", "z", "scene r c"),
+    "validation_scores": sql6(f"WITH {CITY}, t AS (SELECT scene, 0.9::DOUBLE * height + 0.3::DOUBLE * ((r * 31 + c * 17) % 7 - 3)::DOUBLE AS pred, CASE WHEN (r * 64 + c) % 97 <> 0 THEN height END AS ref, block % 4 AS q, CASE WHEN (r + c) % 6 = 0 THEN 1 ELSE block % 4 END AS p FROM ct), o AS (SELECT *, pred - ref AS e FROM t WHERE ref IS NOT NULL), h AS (SELECT scene, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, covar_pop(pred, ref) / sqrt(greatest(var_pop(pred) * var_pop(ref), 1e-12)) AS r, sqrt(avg(e * e) FILTER (ref >= 10)) AS rmse_tall, avg(e) FILTER (ref >= 10) AS bias_tall FROM o GROUP BY scene), k AS (SELECT unnest([1, 2, 3]) AS k), i AS (SELECT scene, k, count(*) FILTER (p = k AND q = k) / count(*)::DOUBLE AS iou FROM t CROSS JOIN k WHERE q >= 1 AND (p = k OR q = k) GROUP BY ALL), m AS (SELECT scene, avg(iou) AS miou FROM i GROUP BY scene) SELECT * FROM h LEFT JOIN m USING (scene)", "rmse mae r rmse_tall bias_tall miou", "scene n"),
+    "training_crops": sql6(f"WITH {CITY}, pk AS (SELECT * FROM (VALUES ('a', 11, 7, 1, true), ('b', 3, 2, 2, false), ('c', 5, 0, 3, true)) v(scene, y, x, turns, mirror)), g AS (SELECT pk.*, h, w, i, CASE WHEN mirror THEN 43 - j ELSE j END AS j, j AS oj FROM pk JOIN dm USING (scene) CROSS JOIN range(44) a(i) CROSS JOIN range(44) b(j)), s AS (SELECT scene, h, w, i, oj, y + CASE turns WHEN 0 THEN i WHEN 1 THEN j WHEN 2 THEN 43 - i ELSE 43 - j END AS si, x + CASE turns WHEN 0 THEN j WHEN 1 THEN 43 - i WHEN 2 THEN 43 - j ELSE i END AS sj FROM g), f AS (SELECT *, least(si % (2 * (h - 1)), 2 * (h - 1) - si % (2 * (h - 1))) AS fr, least(sj % (2 * (w - 1)), 2 * (w - 1) - sj % (2 * (w - 1))) AS fc FROM s) SELECT f.scene, i::INT AS r, oj::INT AS c, CASE WHEN si < h AND sj < w THEN height END AS z, floor(ct.z * 1000) / 1000 AS level FROM f JOIN ct ON ct.scene = f.scene AND ct.r = fr AND ct.c = fc", "z level", "scene r c"),
 }
