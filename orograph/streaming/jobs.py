@@ -31,7 +31,8 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "2 hours
 def log_tail(events: DataFrame, keep: int = TAIL, *, late: str = "2 hours", idle_s: int = 86_400) -> DataFrame:
     """After each batch the last ``keep`` lines of each job that has news.
 
-    The state of a job never holds more, and goes when the watermark (``late`` behind) is ``idle_s`` seconds past its last line.
+    The state of a job never holds more, and goes when the watermark (``late`` behind) is ``idle_s``
+    seconds past its last line; lines later than the watermark are dropped.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

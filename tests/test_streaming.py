@@ -28,7 +28,7 @@ def test_sessions_cover_every_event(spark):
 
 
 def test_log_tail(spark, tmp_path):
-    got = drain(spark, tmp_path, lambda s: jobs.log_tail(s.select("user_id", "event_id", "event_type", "ts"), keep=5), "tail", "update")
+    got = drain(spark, tmp_path, lambda s: jobs.log_tail(s.select("user_id", "event_id", "event_type", "ts"), keep=5, late="3650 days"), "tail", "update")
     last = {}
     for r in got.collect():
         if r.user_id not in last or r.last_id >= last[r.user_id].last_id:
