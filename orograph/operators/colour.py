@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.functions.tables import beside
 from orograph.operators import resample
 
 #: Linear sRGB to CIE XYZ under D65, its white, and the limits of the curves.
@@ -60,16 +61,17 @@ def at_working_size(px: DataFrame, sizes: DataFrame, *, slack: float = 0.02) ->
     d = d.withColumn("s", F.when(F.abs(F.col("s") - 1) > slack, F.col("s")).otherwise(F.lit(1.0)))
     new = lambda n: F.greatest(F.lit(8), F.rint(F.col(n) * F.col("s")).cast("int"))
     d = d.withColumn("nh", F.when(F.col("s") == 1, F.col("h")).otherwise(new("h"))).withColumn("nw", F.when(F.col("s") == 1, F.col("w")).otherwise(new("w")))
-    same = px.join(d.filter("s = 1").select("scene"), "scene", "left_semi").select("scene", "r", "c", "z")
+    same = beside(px, d.filter("s = 1").select("scene"), "scene", "left_semi").select("scene", "r", "c", "z")
     return same.unionByName(shrunk(px, d.filter("s < 1"))).unionByName(enlarged(px, d.filter("s > 1")))
 
 
 def shrunk(px: DataFrame, d: DataFrame) -> DataFrame:
     """Averages by area: each old pixel gives its share to the new rows and columns that it meets."""
-    t = px.select("scene", "r", "c", "z").join(d.select("scene", "h", "w", "nh", "nw"), "scene")
+    t = beside(px.select("scene", "r", "c", "z"), d.select("scene", "h", "w", "nh", "nw"), "scene")
 
     def shares(i: str, n: str, new: str) -> Column:
-        a, b = F.col(i) * F.col(new) / F.col(n), (F.col(i) + 1) * F.col(new) / F.col(n)
+        # products of rows pass the range of an int
+        a, b = F.col(i).cast("long") * F.col(new) / F.col(n), (F.col(i).cast("long") + 1) * F.col(new) / F.col(n)
         last = F.least(F.ceil(b - 1e-9).cast("int") - 1, F.col(new) - 1)
         return F.explode(F.transform(F.sequence(F.floor(a + 1e-9).cast("int"), last), lambda k: F.struct(k.alias("k"), (F.least(b, k + 1.0) - F.greatest(a, k + 0.0)).alias("w"))))
 
