@@ -47,22 +47,28 @@ def quantiles(df: DataFrame, by: list[str], most: int = MOST, beside: Sequence[C
     if largest_group(df, by) <= most:
         shape = lambda ps: F.lit(ps[0]) if len(ps) == 1 else F.array(*[F.lit(float(p)) for p in ps])
         return df.groupBy(*by).agg(*beside, *[F.percentile(c, shape(ps)).alias(k) for k, (c, *ps) in wanted.items()])
+    columns: list = []
+    for c, *_ in wanted.values():
+        if not any(c is k or (isinstance(c, str) and isinstance(k, str) and c == k) for k in columns):
+            columns.append(c)
+    place = lambda c: next(i for i, k in enumerate(columns) if c is k or (isinstance(c, str) and isinstance(k, str) and c == k))
     out = df.groupBy(*by).agg(*beside) if beside else df.select(*by).distinct()
-    for name, (c, *ps) in wanted.items():
-        v = (F.col(c) if isinstance(c, str) else c).cast("double")
-        values = df.select(*by, v.alias("v")).filter("v is not null")
-        n = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        n = n.select(*by, F.posexplode(F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in ps])).alias("k", "at"))
-        low, high = F.floor("at").cast("long"), F.ceil("at").cast("long")
-        n = materialize(n.select(*by, "k", "at", low.alias("low"), high.alias("high")), "quantile-places")
-        ranks = n.select(*by, F.col("low").alias("rank")).unionByName(n.select(*by, F.col("high").alias("rank"))).distinct()
-        v = materialize(at_ranks(values, by, ranks), "quantile-values")
-        for side in ("low", "high"):
-            one = v.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("rank").alias("_rank"), F.col("v").alias(f"v_{side}"))
-            n = n.join(one, [*[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.col(side) == F.col("_rank")]).select(*n.columns, f"v_{side}")
-        between = F.col("v_low") + (F.col("at") - F.col("low")) * (F.col("v_high") - F.col("v_low"))
-        rows = n.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", between.alias("v")))), lambda x: x["v"]).alias(name))
-        rows = rows if len(ps) > 1 else rows.withColumn(name, F.col(name)[0])
-        rows = rows.withColumnsRenamed({b: f"_{b}" for b in by})
-        out = out.join(rows, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], "left").drop(*[f"_{b}" for b in by])
-    return out
+    # all columns are sorted together, by their numbers
+    each = F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
+    values = materialize(df.select(*by, F.posexplode(each).alias("_c", "v")).filter("v is not null"), "quantile-rows")
+    every = F.array(*[F.struct(F.lit(place(c)).alias("c"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for j, (c, *ps) in enumerate(wanted.values()) for k, p in enumerate(ps)])
+    on = [*by, "_c"]
+    n = values.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).withColumn("_w", F.explode(every)).filter("_w.c = _c")
+    n = n.select(*on, "_w.j", "_w.k", (F.col("_w.p") * (F.col("n") - 1)).alias("at"))
+    n = materialize(n.withColumn("low", F.floor("at").cast("long")).withColumn("high", F.ceil("at").cast("long")), "quantile-places")
+    ranks = n.select(*on, F.col("low").alias("rank")).unionByName(n.select(*on, F.col("high").alias("rank"))).distinct()
+    v = materialize(at_ranks(values, on, ranks), "quantile-values")
+    for side in ("low", "high"):
+        one = v.select(*[F.col(b).alias(f"_{b}") for b in on], F.col("rank").alias("_rank"), F.col("v").alias(f"v_{side}"))
+        n = n.join(one, [*[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in on], F.col(side) == F.col("_rank")]).select(*n.columns, f"v_{side}")
+    between = F.col("v_low") + (F.col("at") - F.col("low")) * (F.col("v_high") - F.col("v_low"))
+    found = lambda j: F.transform(F.array_sort(F.collect_list(F.when(F.col("j") == j, F.struct("k", between.alias("v"))))), lambda x: x["v"])
+    shaped = lambda a, ps: F.get(a, F.lit(0)) if len(ps) == 1 else F.when(F.size(a) > 0, a)
+    rows = n.groupBy(*by).agg(*[shaped(found(j), ps).alias(name) for j, (name, (_, *ps)) in enumerate(wanted.items())])
+    rows = rows.withColumnsRenamed({b: f"_{b}" for b in by})
+    return out.join(rows, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], "left").drop(*[f"_{b}" for b in by])

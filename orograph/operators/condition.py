@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 from orograph.operators import local, scalars
 
 BANDS = ["red", "green", "blue"]
@@ -29,7 +29,7 @@ def decisions(px: DataFrame, *, reach: float = 2.5, max_sat: float = 0.15, max_b
     q = quantiles(t, ["scene"], q=("luma", 0.25, 0.5, 0.75))
     level = t.select("scene", F.explode(F.array(*bands)).alias("v"))
     span = quantiles(level, ["scene"], s=("v", 0.02, 0.98))
-    t = t.join(q, "scene")
+    t = beside(t, q, "scene")
     iqr, mid = F.col("q")[2] - F.col("q")[0], F.col("q")[1]
     uneven = iqr >= 1e-9
     cloud = uneven & (F.col("luma") > mid + reach * iqr) & (F.col("sat") < max_sat)
@@ -48,7 +48,7 @@ def conditioned(px: DataFrame, *, contrast: bool = False, decided: DataFrame | N
     side of a 512-pixel scene), colours scaled along. Missing bands become 0.
     """
     d = materialize(decided if decided is not None else decisions(px, max_sat=max_sat, **how), "conditioning")
-    t = px.join(d.select("scene", "bright", "dark", "uneven", "rejected", "stretch"), "scene")
+    t = beside(px, d.select("scene", "bright", "dark", "uneven", "rejected", "stretch"), "scene")
     bands = [F.col(b).cast("double") for b in BANDS]
     luma = local.luma709(*bands)
     bad = luma.isNull() | (F.col("uneven") & (((luma > F.col("bright")) & (local.saturation(*bands) < max_sat)) | (luma < F.col("dark"))))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import at_ranks, quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 
 TILE = 256
 #: Values of neighbourhoods that a task copies at once (64 MB).
@@ -85,7 +85,7 @@ def tiled(px: DataFrame, values: list[str], halo: int, kernel: Callable[..., dic
     is kept. Returns (scene, r, c, *out) for every pixel of the input.
     """
     dims = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
-    t = px.select("scene", "r", "c", *values).join(dims, "scene")
+    t = beside(px.select("scene", "r", "c", *values), dims, "scene")
     span = lambda x, n: F.sequence(F.greatest(F.floor((F.col(x) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(x) + halo) / tile), F.floor((F.col(n) - 1) / tile)))
     t = t.withColumn("_tr", F.explode(span("r", "_h"))).withColumn("_tc", F.explode(span("c", "_w")))
 
@@ -179,7 +179,7 @@ def guided(px: DataFrame, source: str, guide: str, radius: int, eps: float, out:
 def object_band(px: DataFrame, sigma: float, column: str = "z", out: str = "object") -> DataFrame:
     """Height over the low-passed surface; holes are filled with the scene's median for it and stay holes."""
     mid = quantiles(px, ["scene"], _mid=(column, 0.5))
-    t = px.join(mid, "scene").withColumn("_full", F.coalesce(column, "_mid", F.lit(0.0)))
+    t = beside(px, mid, "scene").withColumn("_full", F.coalesce(column, "_mid", F.lit(0.0)))
     low = gaussian(t, sigma, "_full", "_low")
     return t.join(low, ["scene", "r", "c"]).withColumn(out, F.when(F.col(column).isNotNull(), F.col("_full") - F.col("_low"))).drop("_mid", "_full", "_low")
 
@@ -219,5 +219,5 @@ def crispness(px: DataFrame, slope: str = "slope") -> DataFrame:
     n = t.groupBy("scene").agg(F.count(F.lit(1)).alias("_n"), F.sum("v").alias("_all"))
     n = materialize(n.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.01)))), "gradients")
     cut = at_ranks(t, ["scene"], n.select("scene", (F.col("_n") - F.col("_k")).cast("long").alias("rank")))
-    over = t.join(cut.select("scene", F.col("v").alias("_cut")), "scene").groupBy("scene").agg(F.max("_cut").alias("_cut"), F.count_if(F.col("v") > F.col("_cut")).alias("_m"), F.coalesce(F.sum(F.when(F.col("v") > F.col("_cut"), F.col("v"))), F.lit(0.0)).alias("_top"))
+    over = beside(t, cut.select("scene", F.col("v").alias("_cut")), "scene").groupBy("scene").agg(F.max("_cut").alias("_cut"), F.count_if(F.col("v") > F.col("_cut")).alias("_m"), F.coalesce(F.sum(F.when(F.col("v") > F.col("_cut"), F.col("v"))), F.lit(0.0)).alias("_top"))
     return over.join(n, "scene").select("scene", ((F.col("_top") + (F.col("_k") - F.col("_m")) * F.col("_cut")) / F.greatest("_all", F.lit(1e-12))).alias("crispness"))

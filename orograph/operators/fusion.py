@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
+from orograph.functions.tables import beside
 
 BANDS = (0.0, 2.0, 10.0, 30.0)
 
@@ -50,10 +51,10 @@ def calibrate(px: DataFrame, floor: float = 0.3) -> DataFrame:
 def ensemble(passes: DataFrame) -> DataFrame:
     """Mean and spread per pixel of several passes (pass, z), each standardised by its median and MAD and put on the first pass's scale."""
     mid = quantiles(passes, ["scene", "pass"], _m=("z", 0.5))
-    t = passes.select("scene", "r", "c", "pass", "z").join(mid, ["scene", "pass"])
+    t = beside(passes.select("scene", "r", "c", "pass", "z"), mid, ["scene", "pass"])
     mad = quantiles(t, ["scene", "pass"], _mad=(F.abs(F.col("z") - F.col("_m")), 0.5)).select("scene", "pass", (F.lit(1.4826) * F.col("_mad")).alias("_s"))
     first = mid.join(mad, ["scene", "pass"]).filter("pass = 0").select("scene", F.col("_m").alias("_m0"), F.col("_s").alias("_s0"))
-    t = t.join(mad, ["scene", "pass"]).join(first, "scene")
+    t = beside(t, mad.join(first, "scene"), ["scene", "pass"])
     return t.groupBy("scene", "r", "c").agg(*_mean_spread((F.col("z") - F.col("_m")) / F.greatest("_s", F.lit(1e-9)) * F.col("_s0") + F.col("_m0")))
 
 
@@ -90,6 +91,6 @@ def informative(px: DataFrame) -> DataFrame:
 def ground_consistency(px: DataFrame, *, cells: int = 4, pct: float = 0.15, least: int = 50) -> DataFrame:
     """Unevenness of the ground: range of the cells' low percentiles over the scene's range."""
     dims = quantiles(px, ["scene"], beside=[(F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")], q=("z", 0.01, 0.99))
-    t = px.join(dims, "scene").withColumn("i", F.floor(F.col("r") * cells / F.col("h"))).withColumn("j", F.floor(F.col("c") * cells / F.col("w")))
+    t = beside(px, dims, "scene").withColumn("i", F.floor(F.col("r") * cells / F.col("h"))).withColumn("j", F.floor(F.col("c") * cells / F.col("w")))
     t = quantiles(t, ["scene", "i", "j"], beside=[F.count("z").alias("n"), F.max("q").alias("q")], p=("z", pct))
     return t.filter(F.col("n") > least).groupBy("scene").agg(F.count(F.lit(1)).alias("cells"), ((F.max("p") - F.min("p")) / F.greatest(F.max(F.col("q")[1]) - F.max(F.col("q")[0]), F.lit(1e-9))).alias("unevenness"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
+from orograph.functions.tables import beside
 
 
 def luma709(red: Column, green: Column, blue: Column) -> Column:
@@ -34,7 +35,7 @@ def with_scene(px: DataFrame, **stats: Column | tuple) -> DataFrame:
     plain = [v.alias(k) for k, v in stats.items() if not isinstance(v, tuple)]
     ranks = {k: v for k, v in stats.items() if isinstance(v, tuple)}
     for rows in ([px.groupBy("scene").agg(*plain)] if plain else []) + ([quantiles(px, ["scene"], **ranks)] if ranks else []):
-        px = px.join(rows, "scene")
+        px = beside(px, rows, "scene")
     return px
 
 
@@ -71,7 +72,7 @@ def stretch_per_band(px: DataFrame, *, lo: float = 0.02, hi: float = 0.98, least
     stats = stats.withColumn("q", F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("qa")))
     a, b = F.col("q")[0], F.col("q")[1]
     x = F.least(F.greatest((F.col("v") - a) / F.greatest(b - a, F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
-    return long.join(stats, by).groupBy("scene", "r", "c").pivot("band", ["red", "green", "blue"]).agg(F.first(F.floor(x * 255.0).cast("int")))
+    return beside(long, stats, by).groupBy("scene", "r", "c").pivot("band", ["red", "green", "blue"]).agg(F.first(F.floor(x * 255.0).cast("int")))
 
 
 def otsu(px: DataFrame, value: str, bins: int = 256) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 from orograph.operators import focal
 
 #: The share of each part.
@@ -43,7 +43,7 @@ def band_weights(px: DataFrame, *, bands: int, top: float, power: float, low: fl
     n = n.withColumn("_f", F.pow(F.greatest(F.col("count") / every, F.lit(1e-4)), F.lit(-power)))
     mean = F.sum(F.col("_f") * F.col("count")).over(W.partitionBy("scene")) / every
     n = n.select("scene", "band", F.least(F.greatest(F.col("_f") / F.greatest(mean, F.lit(1e-6)), F.lit(low)), F.lit(high)).alias("weight"))
-    return t.join(n, ["scene", "band"])
+    return beside(t, n, ["scene", "band"])
 
 
 def gradients(px: DataFrame, error: Column, name: str, scales: int = 4) -> DataFrame:
@@ -69,7 +69,7 @@ def combined(px: DataFrame, centers: DataFrame, *, weights: dict[str, float] | N
     """
     share = WEIGHTS | (weights or {})
     top = math.log1p(h_max / h0)
-    t = px.join(centers, "scene")
+    t = beside(px, centers, "scene")
     k = F.size("logits")
     t = t.withColumn("u", F.when(F.col("ref").isNotNull(), log_height(F.col("ref"), h0))).withColumn("uc", F.transform("centers", lambda x: log_height(x, h0)))
     t = materialize(t, "losses")
@@ -84,10 +84,10 @@ def combined(px: DataFrame, centers: DataFrame, *, weights: dict[str, float] | N
     out = out.join(gradients(t, F.col("pred") - F.col("ref"), "grad"), "scene")
     if "rel" in px.columns:
         q = quantiles(ok, ["scene"], mt=("ref", 0.5), mp=("rel", 0.5))
-        s = ok.join(q, "scene").groupBy("scene").agg(F.first("mt").alias("mt"), F.first("mp").alias("mp"), F.avg(F.abs(F.col("ref") - F.col("mt"))).alias("st"), F.greatest(F.avg(F.abs(F.col("rel") - F.col("mp"))), F.lit(1e-4)).alias("sp"), F.count(F.lit(1)).alias("_n"))
+        s = beside(ok, q, "scene").groupBy("scene").agg(F.first("mt").alias("mt"), F.first("mp").alias("mp"), F.avg(F.abs(F.col("ref") - F.col("mt"))).alias("st"), F.greatest(F.avg(F.abs(F.col("rel") - F.col("mp"))), F.lit(1e-4)).alias("sp"), F.count(F.lit(1)).alias("_n"))
         s = s.filter((F.col("_n") >= least) & (F.col("st") >= least_spread))
         e = (F.col("rel") - F.col("mp")) / F.col("sp") - (F.col("ref") - F.col("mt")) / F.col("st")
-        shaped = t.join(s, "scene")
+        shaped = beside(t, s, "scene")
         out = out.join(shaped.groupBy("scene").agg(F.avg(F.abs(e)).alias("ssi")), "scene", "left").join(gradients(shaped, e, "ssi_grad"), "scene", "left")
     if "seg" in px.columns:
         own = log_sum_exp(F.col("seg")) - F.element_at("seg", F.col("cls") + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
+from orograph.functions.tables import beside, materialize
 
 #: Height bands in metres.
 BANDS = [(-1e9, 2.0), (2.0, 10.0), (10.0, 30.0), (30.0, 1e9)]
@@ -38,15 +39,17 @@ def metrics(px: DataFrame, by: list[str] | None = None) -> DataFrame:
     on = by or ["_all"]
     t = px.withColumn("_all", F.lit(1)) if not by else px
     e = F.col("pred") - F.col("ref")
-    t = t.withColumn("e", e)
+    t = materialize(t.select(*on, "pred", "ref").withColumn("e", e), "errors")
     pair = F.col("e").isNotNull()
     sums = t.groupBy(*on).agg(
         F.count_if(pair).alias("n"), (F.lit(100.0) * F.count_if(pair) / F.count(F.lit(1))).alias("coverage_pct"),
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.stddev_pop("e").alias("std"), F.stddev_pop(F.when(pair, F.col("pred"))).alias("_sp"), F.stddev_pop(F.when(pair, F.col("ref"))).alias("_sr"),
         F.covar_pop(F.when(pair, F.col("pred")), F.when(pair, F.col("ref"))).alias("_c"), F.sum(F.col("e") * F.col("e")).alias("_sse"), F.var_pop(F.when(pair, F.col("ref"))).alias("_vr"),
     )
-    ranks = quantiles(t, on, medae=(F.abs("e"), 0.5), le90=(F.abs("e"), 0.9), _mid=("e", 0.5), _q=(F.when(pair, F.col("ref")), 0.01, 0.99))
-    same = t.filter(pair).join(ranks.select(*on, "_mid"), on)
+    off = F.abs("e")
+    ranks = quantiles(t, on, medae=(off, 0.5), le90=(off, 0.9), _mid=("e", 0.5), _q=(F.when(pair, F.col("ref")), 0.01, 0.99))
+    ranks = materialize(ranks, "quantiles")
+    same = beside(t.filter(pair), ranks.select(*on, "_mid"), on)
     spread = quantiles(same, on, _mad=(F.abs(F.col("e") - F.col("_mid")), 0.5)).select(*on, (F.lit(MAD) * F.col("_mad")).alias("nmad"))
     out = sums.join(ranks, on).join(spread, on, "left")
     r = F.when((F.col("_sp") > 1e-9) & (F.col("_sr") > 1e-9), F.col("_c") / (F.col("_sp") * F.col("_sr")))
@@ -62,7 +65,7 @@ def metrics(px: DataFrame, by: list[str] | None = None) -> DataFrame:
 def shifted(px: DataFrame, by: list[str]) -> DataFrame:
     """``px`` with the median of ref - pred of its stratum added to pred."""
     off = quantiles(finite_pairs(px), by, offset=(F.col("ref") - F.col("pred"), 0.5))
-    return px.join(off, by, "left").withColumn("pred", F.col("pred") + F.col("offset"))
+    return beside(px, off, by, "left").withColumn("pred", F.col("pred") + F.col("offset"))
 
 
 def alignments(px: DataFrame, by: list[str]) -> DataFrame:

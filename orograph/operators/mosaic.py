@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 from orograph.operators.resample import feather
 
 TILE = ["scene", "r0", "c0"]
@@ -80,7 +80,7 @@ def gains(tiled: DataFrame, tile: int, overlap: int, *, least: int = 50, low: fl
 
 def aligned(tiled: DataFrame, tile: int, overlap: int, **how) -> DataFrame:
     """(scene, r, c, z): the mosaic of the tiles after their gains, blended by their feathers."""
-    g = materialize(gains(tiled, tile, overlap, **how).select(*TILE, "gain", "offset"), "tile-gains")
+    g = gains(tiled, tile, overlap, **how).select(*TILE, "gain", "offset")
     w = feather(F.col("r") - F.col("r0"), F.lit(tile), overlap) * feather(F.col("c") - F.col("c0"), F.lit(tile), overlap)
-    t = tiled.join(g, TILE).withColumn("_z", F.col("z") * F.col("gain") + F.col("offset")).withColumn("_w", F.when(F.col("z").isNotNull(), w))
+    t = beside(tiled, g, TILE).withColumn("_z", F.col("z") * F.col("gain") + F.col("offset")).withColumn("_w", F.when(F.col("z").isNotNull(), w))
     return t.groupBy("scene", "r", "c").agg((F.sum(F.col("_z") * F.col("_w")) / F.sum("_w")).alias("z"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
+from orograph.functions.tables import beside
 
 
 def latest(t: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -99,7 +100,7 @@ def hash_order(key: Column) -> Column:
 def stratified_points(px: DataFrame, cells: int, pct: float) -> DataFrame:
     """One pixel of each grid cell among those over the cell's percentile, by hash order."""
     dims = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
-    t = px.join(dims, "scene").withColumn("i", F.floor(F.col("r") * cells / F.col("_h"))).withColumn("j", F.floor(F.col("c") * cells / F.col("_w")))
+    t = beside(px, dims, "scene").withColumn("i", F.floor(F.col("r") * cells / F.col("_h"))).withColumn("j", F.floor(F.col("c") * cells / F.col("_w")))
     q = quantiles(t, ["scene", "i", "j"], _q=("z", pct))
     t = t.join(q, ["scene", "i", "j"]).filter(F.col("z") >= F.col("_q"))
     key = hash_order(F.col("r").cast("long") * F.col("_w") + F.col("c"))

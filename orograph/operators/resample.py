@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.functions.tables import beside
+
 
 def block_reduce(px: DataFrame, f: int, agg: Column, *, whole: bool = True, out: str = "z") -> DataFrame:
     """One pixel of every f x f block; with ``whole`` the rest at the far edges is dropped."""
     t = px
     if whole:
         dims = px.groupBy("scene").agg((F.floor((F.max("r") + 1) / f) * f).alias("_h"), (F.floor((F.max("c") + 1) / f) * f).alias("_w"))
-        t = px.join(dims, "scene").filter((F.col("r") < F.col("_h")) & (F.col("c") < F.col("_w")))
+        t = beside(px, dims, "scene").filter((F.col("r") < F.col("_h")) & (F.col("c") < F.col("_w")))
     return t.groupBy("scene", F.floor(F.col("r") / f).cast("int").alias("r"), F.floor(F.col("c") / f).cast("int").alias("c")).agg(agg.alias(out))
 
 
@@ -58,7 +60,7 @@ def bilinear(px: DataFrame, points: DataFrame, dims: DataFrame) -> DataFrame:
 
     The four corners are an equi-join on (scene, r, c), so it is one shuffle for any number of points.
     """
-    t = points.join(F.broadcast(dims), "scene") if dims.count() <= 100_000 else points.join(dims, "scene")
+    t = beside(points, dims, "scene")
     y, x = F.least(F.greatest("y", F.lit(0.0)), (F.col("h") - 1).cast("double")), F.least(F.greatest("x", F.lit(0.0)), (F.col("w") - 1).cast("double"))
     t = t.withColumn("_y", y).withColumn("_x", x).withColumn("_r", F.floor("_y").cast("int")).withColumn("_c", F.floor("_x").cast("int"))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import MOST, largest_group, quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 
 MAD = 1.4826
 
@@ -31,11 +31,11 @@ def medians(t: DataFrame, by: list[str], value: Column | str, name: str, small:
 
 def weighted(t: DataFrame, coef: DataFrame, by: list[str], residual: Column, small: bool) -> DataFrame:
     """``t`` with residuals of the group's coefficients and the weights they lead to (w2, squared)."""
-    t = t.join(coef, by).withColumn("_r", residual)
-    t = t.join(medians(t, by, "_r", "_m", small), by)
+    t = beside(t, coef, by).withColumn("_r", residual)
+    t = beside(t, medians(t, by, "_r", "_m", small), by)
     mad = medians(t, by, F.abs(F.col("_r") - F.col("_m")), "_d", small).select(*by, (F.lit(MAD) * F.col("_d") + F.lit(1e-9)).alias("_s"))
     z = F.col("_r") / (F.lit(2.0) * F.col("_s"))
-    return t.join(mad, by).withColumn("w2", F.lit(1.0) / (F.lit(1.0) + z * z))
+    return beside(t, mad, by).withColumn("w2", F.lit(1.0) / (F.lit(1.0) + z * z))
 
 
 def affine(points: DataFrame, by: list[str], *, rounds: int = 5, least: int = 10) -> DataFrame:
@@ -60,14 +60,14 @@ def affine_scores(px: DataFrame, by: list[str]) -> DataFrame:
     fit = affine(t.select(*by, F.col("pred").alias("x"), F.col("ref").alias("y")), by)
     rmse = lambda x: F.sqrt(F.avg((x - F.col("ref")) ** 2))
     scores = [F.count(F.lit(1)).alias("n"), rmse(F.col("pred")).alias("rmse_raw"), rmse(F.col("a") * F.col("pred") + F.col("b")).alias("rmse_affine")]
-    return t.join(fit, by).groupBy(*by, "a", "b").agg(*scores)
+    return beside(t, fit, by).groupBy(*by, "a", "b").agg(*scores)
 
 
 def plane(px: DataFrame, *, rounds: int = 3) -> DataFrame:
     """(scene, p, q, o): z = p x + q y + o with x, y the column and row scaled to -1..1 of the scene."""
     dims = px.groupBy("scene").agg(F.max("r").alias("_h"), F.max("c").alias("_w"))
     half = lambda n: F.col(n) / F.lit(2.0)
-    t = px.filter("z is not null").join(dims, "scene")
+    t = beside(px.filter("z is not null"), dims, "scene")
     t = t.select("scene", "r", "c", "z", ((F.col("c") - half("_w")) / F.greatest(half("_w"), F.lit(1.0))).alias("x"), ((F.col("r") - half("_h")) / F.greatest(half("_h"), F.lit(1.0))).alias("y"))
     t = materialize(t, "plane-points")
     small = largest_group(t, ["scene"]) <= MOST
@@ -97,7 +97,7 @@ def detrend(px: DataFrame, **options) -> DataFrame:
     coef = plane(px, **options)
     dims = px.groupBy("scene").agg(F.max("r").alias("_h"), F.max("c").alias("_w"))
     half = lambda n: F.col(n) / F.lit(2.0)
-    t = px.join(dims, "scene").join(coef, "scene", "left")
+    t = beside(px, dims.join(coef, "scene", "left"), "scene")
     x, y = (F.col("c") - half("_w")) / F.greatest(half("_w"), F.lit(1.0)), (F.col("r") - half("_h")) / F.greatest(half("_h"), F.lit(1.0))
     t = t.withColumn("plane", F.coalesce(F.col("p") * x + F.col("q") * y + F.col("o"), F.lit(0.0)))
     return t.withColumn("flat", F.col("z") - F.col("plane")).drop("_h", "_w", "p", "q", "o")

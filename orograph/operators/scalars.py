@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.tables import beside
+
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone of a position."""
@@ -97,7 +99,7 @@ def smoothed(t: DataFrame, by: list[str], order: str, value: str, keep: float) -
 def rotated(px: DataFrame, k: int) -> DataFrame:
     """The scene turned by ``k`` quarter turns, by index arithmetic."""
     d = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
-    t = px.join(d, "scene")
+    t = beside(px, d, "scene")
     r, c, h, w = F.col("r"), F.col("c"), F.col("_h"), F.col("_w")
     to = [(r, c), (w - 1 - c, r), (h - 1 - r, w - 1 - c), (c, h - 1 - r)][k % 4]
     return t.withColumns({"r": to[0], "c": to[1]}).drop("_h", "_w")
@@ -120,7 +122,7 @@ def equalised(px: DataFrame, tile: int, clip: float, bins: int = 64) -> DataFram
     n = n.withColumn("m", F.least(F.col("n"), limit) + over)
     lut = n.withColumn("share", F.sum("m").over(every.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) / F.col("size")).select("scene", "tr", "tc", "bin", "share")
     last = size.groupBy("scene").agg(F.max("tr").alias("_tr"), F.max("tc").alias("_tc"))
-    t = t.join(last, "scene")
+    t = beside(t, last, "scene")
     at = lambda i, top: F.least(F.greatest((F.col(i) - (tile - 1) / 2) / tile, F.lit(0.0)), F.col(top).cast("double"))
     t = t.withColumn("_y", at("r", "_tr")).withColumn("_x", at("c", "_tc"))
     k = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))

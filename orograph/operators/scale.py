@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 
 #: The percentile that a known height refers to.
 REFERENCE = {"tallest": 0.99, "tall": 0.95, "typical": 0.60}
@@ -20,7 +20,7 @@ def ground_level(px: DataFrame, bins: int = 256, sigma: float = 3.0) -> DataFram
     """Per scene: the first clear peak of the smoothed height histogram, or the 10th percentile where there is none."""
     q = quantiles(px, ["scene"], q=("z", 0.005, 0.995, 0.1))
     q = q.select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.col("q")[2].alias("p10"))
-    t = px.join(q, "scene").filter((F.col("z") >= F.col("lo")) & (F.col("z") <= F.col("hi")))
+    t = beside(px, q, "scene").filter((F.col("z") >= F.col("lo")) & (F.col("z") <= F.col("hi")))
     width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12))
     t = t.groupBy("scene", F.least(F.floor((F.col("z") - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")).count()
     spine = q.select("scene", "lo", "hi", "p10", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -48,7 +48,7 @@ def ground_level(px: DataFrame, bins: int = 256, sigma: float = 3.0) -> DataFram
 def known_height(px: DataFrame, height: float, reference: str) -> DataFrame:
     """alpha from one known height: the median of the detail above the percentile that the reference names."""
     thr = quantiles(px, ["scene"], thr=("z", REFERENCE[reference]))
-    top = quantiles(px.join(thr, "scene").filter(F.col("z") >= F.col("thr")), ["scene"], top=("z", 0.5))
+    top = quantiles(beside(px, thr, "scene").filter(F.col("z") >= F.col("thr")), ["scene"], top=("z", 0.5))
     return top.select("scene", (F.lit(height) / F.greatest("top", F.lit(1e-9))).alias("alpha"))
 
 

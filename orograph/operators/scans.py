@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions.tables import beside
 from orograph.operators.records import contained
 
 
@@ -14,7 +15,7 @@ def decimated(px: DataFrame, budget: int) -> DataFrame:
     # the factor is at most the root of the excess, rounded up
     most = F.ceil(F.sqrt(F.col("h") * F.col("w") / F.lit(float(budget)))) + 1
     fits = F.filter(F.sequence(F.lit(1), most.cast("int")), lambda k: F.floor(F.col("h") / k) * F.floor(F.col("w") / k) <= budget)
-    t = px.join(d.withColumn("dec", F.array_min(fits)), "scene").withColumn("r", F.floor(F.col("r") / F.col("dec"))).withColumn("c", F.floor(F.col("c") / F.col("dec")))
+    t = beside(px, d.withColumn("dec", F.array_min(fits)), "scene").withColumn("r", F.floor(F.col("r") / F.col("dec"))).withColumn("c", F.floor(F.col("c") / F.col("dec")))
     t = t.filter((F.col("r") < F.floor(F.col("h") / F.col("dec"))) & (F.col("c") < F.floor(F.col("w") / F.col("dec"))))
     return t.groupBy("scene", "r", "c", "dec").agg(F.avg("z").alias("z"))
 

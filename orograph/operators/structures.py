@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
+from orograph.functions.tables import beside
 from orograph.operators import focal, resample
 
 
@@ -22,7 +23,7 @@ def ground_envelope(px: DataFrame, f: int, k: int, pct: float) -> DataFrame:
     top = focal.moving(low, F.max, "rank", k // 2, k // 2, "top")
     smooth = focal.gaussian(top, k / 4, "top", "z")
     small = resample.dims_of(smooth).select("scene", F.col("h").alias("sh"), F.col("w").alias("sw"))
-    at = px.select("scene", "r", "c").join(resample.dims_of(px), "scene").join(small, "scene")
+    at = beside(px.select("scene", "r", "c"), resample.dims_of(px).join(small, "scene"), "scene")
     scale = lambda i, a, b: F.col(i) * ((F.col(a) - 1) / F.greatest(F.col(b) - 1, F.lit(1)))
     at = at.select("scene", F.col("r").alias("pr"), F.col("c").alias("pc"), scale("r", "sh", "h").alias("y"), scale("c", "sw", "w").alias("x"))
     out = resample.bilinear(smooth, at, resample.dims_of(smooth))
@@ -89,9 +90,9 @@ def scale_free_loss(px: DataFrame) -> DataFrame:
     """Mean absolute difference after both surfaces are freed of median and mean deviation."""
     t = px.filter("pred is not null and ref is not null")
     m = quantiles(t, ["scene"], mp=("pred", 0.5), mr=("ref", 0.5))
-    t = t.join(m, "scene")
+    t = beside(t, m, "scene")
     d = t.groupBy("scene").agg(F.greatest(F.avg(F.abs(F.col("pred") - F.col("mp"))), F.lit(1e-6)).alias("dp"), F.greatest(F.avg(F.abs(F.col("ref") - F.col("mr"))), F.lit(1e-6)).alias("dr"))
-    return t.join(d, "scene").groupBy("scene").agg(F.avg(F.abs((F.col("pred") - F.col("mp")) / F.col("dp") - (F.col("ref") - F.col("mr")) / F.col("dr"))).alias("loss"))
+    return beside(t, d, "scene").groupBy("scene").agg(F.avg(F.abs((F.col("pred") - F.col("mp")) / F.col("dp") - (F.col("ref") - F.col("mr")) / F.col("dr"))).alias("loss"))
 
 
 def chamfer(px: DataFrame, centers: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 from orograph.operators import focal, zonal
 
 AT = ["scene", "r", "c"]
@@ -33,11 +33,11 @@ def edge_preserved(px: DataFrame, *, radius: int = 4, sigma_value: float = 0.08,
     are the median for the neighbours' sake, and each pixel becomes the mean of a disc about it, in which
     values count the less the further they are apart.
     """
-    t = px.join(quantiles(px, ["scene"], _q=(column, 0.005, 0.995)), "scene")
+    t = beside(px, quantiles(px, ["scene"], _q=(column, 0.005, 0.995)), "scene")
     wide = F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(1e-9))
     scaled = F.least(F.greatest((F.col(column) - F.col("_q")[0]) / wide, F.lit(0.0)), F.lit(1.0))
     t = t.withColumn("_x", F.when(F.col(column).isNotNull(), scaled))
-    t = materialize(t.join(quantiles(t, ["scene"], _mid=("_x", 0.5)), "scene").withColumn("_x", F.coalesce("_x", "_mid")), "scaled")
+    t = materialize(beside(t, quantiles(t, ["scene"], _mid=("_x", 0.5)), "scene").withColumn("_x", F.coalesce("_x", "_mid")), "scaled")
     low = focal.tiled(t, ["_x"], radius, lambda a: {"_y": bilateral(a, radius, sigma_value, sigma_space)}, ["_y"], pad="reflect")
     t = t.join(low, AT).withColumn(out, F.when(F.col(column).isNotNull(), F.col("_y") * wide + F.col("_q")[0]))
     return t.drop("_q", "_x", "_mid", "_y")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import materialize
+from orograph.functions.tables import beside, materialize
 
 
 def components(px: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(px: DataFrame) -> DataFrame:
     through the pixel that a label names, until none moves. Each round is written.
     """
     n = px.groupBy("scene").agg((F.max("c") + 1).cast("long").alias("_w"))
-    t = px.select("scene", "r", "c").join(n, "scene").withColumn("id", F.col("r") * F.col("_w") + F.col("c")).drop("_w")
+    t = beside(px.select("scene", "r", "c"), n, "scene").withColumn("id", F.col("r") * F.col("_w") + F.col("c")).drop("_w")
 
     def runs(along: str, across: str, name: str):
         w = W.partitionBy("scene", across).orderBy(along)
@@ -43,7 +43,7 @@ def distance(px: DataFrame, radius: int = 3) -> DataFrame:
     """``px`` (scene, r, c, inside) with ``distance``, exact and Euclidean, of each inside pixel to the nearest one outside; 0 outside, null where the scene has none."""
     n = px.groupBy("scene").agg((F.max("c") + 1).cast("long").alias("_w"))
     at = (F.col("r") * F.col("_w") + F.col("c")).cast("double")
-    t = px.join(n, "scene").withColumn("z", F.when(~F.col("inside"), at))
+    t = beside(px, n, "scene").withColumn("z", F.when(~F.col("inside"), at))
     t = nearest_fill(t, radius)
     near_r, near_c = F.floor(F.col("z") / F.col("_w")), F.pmod(F.col("z"), F.col("_w").cast("double"))
     return t.withColumn("distance", F.sqrt((F.col("r") - near_r) ** 2 + (F.col("c") - near_c) ** 2)).drop("z", "_w")
@@ -74,15 +74,15 @@ def planes(px: DataFrame, *, least: int = 30, keep: int = 20, strength: float =
         return s.select(*by, "_n", p.alias("_p"), q.alias("_q"), (F.col("sz") / n - p * F.col("sx") / n - q * F.col("sy") / n).alias("_o"))
 
     centre = quantiles(px, by, beside=[F.avg(F.col("c").cast("double")).alias("_cx"), F.avg(F.col("r").cast("double")).alias("_cy"), F.count(F.lit(1)).alias("_size")], _med=("z", 0.5))
-    t = px.join(centre, by)
+    t = beside(px, centre, by)
     at = F.col("_p") * (F.col("c") - F.col("_cx")) + F.col("_q") * (F.col("r") - F.col("_cy")) + F.col("_o")
-    one = t.join(fit(t), by).withColumn("_fit", at).withColumn("_res", F.col("z") - F.col("_fit"))
+    one = beside(t, fit(t), by).withColumn("_fit", at).withColumn("_res", F.col("z") - F.col("_fit"))
     one = materialize(one, "residuals")
-    one = one.join(quantiles(one, by, _m=("_res", 0.5)), by)
+    one = beside(one, quantiles(one, by, _m=("_res", 0.5)), by)
     mad = quantiles(one, by, _mad=(F.abs(F.col("_res") - F.col("_m")), 0.5)).select(*by, (F.lit(1.4826) * F.col("_mad") + F.lit(1e-6)).alias("_s"))
-    kept = one.join(mad, by).filter(F.abs("_res") < F.lit(2.5) * F.col("_s")).select(*by, "r", "c", "z", "_cx", "_cy")
+    kept = beside(one, mad, by).filter(F.abs("_res") < F.lit(2.5) * F.col("_s")).select(*by, "r", "c", "z", "_cx", "_cy")
     again = fit(kept).select(*by, F.col("_n").alias("_n2"), F.col("_p").alias("_p2"), F.col("_q").alias("_q2"), F.col("_o").alias("_o2"))
-    t = one.join(again, by, "left")
+    t = beside(one, again, by, "left")
     second = F.col("_p2") * (F.col("c") - F.col("_cx")) + F.col("_q2") * (F.col("r") - F.col("_cy")) + F.col("_o2")
     target = F.when(F.col("_size") < least, F.col("_med")).when(F.col("_n2") >= keep, second).otherwise(F.col("_fit"))
     return t.select(*by, "r", "c", ((1 - strength) * F.col("z") + F.lit(strength) * target).alias("z"))
@@ -215,7 +215,8 @@ def farther(holes: DataFrame, valid: DataFrame) -> DataFrame:
     o = W.partitionBy("scene", "r").orderBy("c")
     most = F.least(F.col("c") - F.last("at", ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, 0)), F.first("at", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing)) - F.col("c"))
     height = valid.groupBy("scene").agg(F.max("r").alias("_h"))
-    need = own.withColumn("_d", most).filter("at is null").join(height, "scene").withColumn("_d", F.coalesce("_d", F.greatest("_h", "r")))
+    need = own.withColumn("_d", most).filter("at is null")
+    need = beside(need, height, "scene").withColumn("_d", F.coalesce("_d", F.greatest("_h", "r")))
     band = lambda x: F.floor(x / BAND)
     need = need.select("scene", "c", F.explode(F.sequence(band(F.greatest(F.col("r") - F.col("_d"), F.lit(0))), band(F.least(F.col("r") + F.col("_d"), F.col("_h") + BAND)))).alias("_b")).distinct()
     grid = valid.select("scene", "r").distinct().withColumn("_b", band(F.col("r"))).join(need, ["scene", "_b"]).select("scene", "r", "c")
