@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def six(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, the same way on both engines (-0.0 becomes 0.0)."""
-    cols = [(F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
+    """Doubles to six decimals, the same way on both engines (-0.0 becomes 0.0, NaN stays)."""
+    cut = lambda c: F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)
+    cols = [F.when(F.isnan(c), F.col(c)).otherwise(cut(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
     return df.select(*cols)
 
 
