@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from orograph.functions.ranks import quantiles
 from orograph.functions.tables import beside
 
+#: Members of a class that travel as one array, about.
+CHUNK = 1024
+
 
 def latest(t: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``; the rest is cut before the shuffle where Spark can."""
@@ -49,18 +52,30 @@ def merge_protected(old: DataFrame, new: DataFrame, key: str, protected: list[st
     return a.join(b, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[pick(c).alias(c) for c in cols])
 
 
+def chunked(t: DataFrame, alike: list[str], name: str) -> DataFrame:
+    """A row of ``alike`` and ``{name}_ids``, an array of some ``CHUNK`` ids of rows that agree in all of them; none where one is null."""
+    t = beside(t, t.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n")), alike)
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / CHUNK))
+    return t.groupBy(*alike, part.alias("_part")).agg(F.collect_list("id").alias(f"{name}_ids")).drop("_part")
+
+
 def contained(boxes: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """(box, area) pairs where the area contains the box; both carry left, bottom, right, top.
 
-    Areas are dealt to the grid cells they touch; a box is looked up in the cell of its
-    lower left corner, so the range condition is checked within an equi-join.
+    Boxes that are alike are a class, and so are areas. Classes of areas are dealt to the grid cells
+    they touch; a class of boxes is looked up in the cell of its lower left corner, so the range condition
+    is checked within an equi-join, once for all members. Members travel in arrays of some ``CHUNK``; pairs
+    of arrays are dealt over all tasks before they are written out as rows.
     """
+    side = ["left", "bottom", "right", "top"]
     at = lambda c: F.floor(F.col(c) / cell)
-    a = areas.select(F.col("id").alias("area"), *[F.col(k).alias(f"a_{k}") for k in ("left", "bottom", "right", "top")])
-    a = a.withColumn("_x", F.explode(F.sequence(F.floor(F.col("a_left") / cell), F.floor(F.col("a_right") / cell)))).withColumn("_y", F.explode(F.sequence(F.floor(F.col("a_bottom") / cell), F.floor(F.col("a_top") / cell))))
-    b = boxes.withColumn("_x", at("left")).withColumn("_y", at("bottom"))
+    b = chunked(boxes, side, "box").select("box_ids", *side, at("left").alias("_x"), at("bottom").alias("_y"))
+    a = chunked(areas, side, "area").select("area_ids", *[F.col(k).alias(f"a_{k}") for k in side])
+    a = a.withColumn("_x", F.explode(F.sequence(at("a_left"), at("a_right")))).withColumn("_y", F.explode(F.sequence(at("a_bottom"), at("a_top"))))
     inside = (F.col("left") >= F.col("a_left")) & (F.col("right") <= F.col("a_right")) & (F.col("bottom") >= F.col("a_bottom")) & (F.col("top") <= F.col("a_top"))
-    return b.join(a, ["_x", "_y"]).filter(inside).select(F.col("id").alias("box"), "area")
+    pairs = b.join(a, ["_x", "_y"]).filter(inside).select("box_ids", "area_ids")
+    pairs = pairs.repartition(8 * boxes.sparkSession.sparkContext.defaultParallelism)
+    return pairs.select(F.explode("box_ids").alias("box"), "area_ids").select("box", F.explode("area_ids").alias("area"))
 
 
 def near_anti(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:

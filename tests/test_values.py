@@ -198,6 +198,22 @@ def test_tile_ids(spark):
     assert {r.tile for r in records.tile_ids(t, -18041000.0, 9000000.0, 1e6, 36, 18).collect()} == {"R1_C19"}
 
 
+def test_alike_boxes_spread_over_tasks(spark):
+    box = lambda n, *at: spark.range(n).select("id", *[F.lit(x).cast("int").alias(k) for k, x in zip(("left", "bottom", "right", "top"), at)])
+    boxes = box(3000, 1, 1, 3, 4).unionByName(box(1, 0, 9, 30, 12).withColumn("id", F.lit(5000).cast("long"))).unionByName(box(1, None, 1, 3, 4).withColumn("id", F.lit(6000).cast("long")))
+    areas = box(3000, 0, 0, 9, 11).unionByName(box(1, -25, -3, 31, 13).withColumn("id", F.lit(7000).cast("long")))
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in kept:
+        spark.conf.set(k, "-1")
+    t = records.contained(boxes, areas, 10.0)
+    parts = [n for (n,) in t.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    for k, v in kept.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(parts) == 3000 * 3001 + 1 and max(parts) < sum(parts) / 2
+    assert t.filter("box >= 3000").collect() == [(5000, 7000)]
+    assert t.distinct().count() == sum(parts)
+
+
 def test_protected_values_survive(spark):
     old = spark.createDataFrame([("a", 15, "by hand"), ("b", None, "by hand")], "scene string, height int, note string")
     new = spark.createDataFrame([("a", 9, "fetched"), ("b", 8, "fetched"), ("c", 7, "fetched")], "scene string, height int, note string")
