@@ -215,9 +215,9 @@ def crispness(px: DataFrame, slope: str = "slope") -> DataFrame:
     The magnitude at the cut is found by its rank; what lies above it is summed and
     the pixels that tie with it fill up the 1 %.
     """
-    t = px.filter(F.col(slope).isNotNull()).select("scene", F.tan(F.radians(slope)).alias("v"))
-    n = t.groupBy("scene").agg(F.count(F.lit(1)).alias("_n"), F.sum("v").alias("_all"))
+    t = materialize(px.filter(F.col(slope).isNotNull()).select("scene", F.tan(F.radians(slope)).alias("v")), "slopes")
+    n = t.groupBy("scene").agg(F.count(F.lit(1)).alias("_n"), F.sum("v").alias("_all"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     n = materialize(n.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.01)))), "gradients")
-    cut = at_ranks(t, ["scene"], n.select("scene", (F.col("_n") - F.col("_k")).cast("long").alias("rank")))
+    cut = at_ranks(t, ["scene"], n.select("scene", (F.col("_n") - F.col("_k")).cast("long").alias("rank")), n.select("scene", "_lo", "_hi"))
     over = beside(t, cut.select("scene", F.col("v").alias("_cut")), "scene").groupBy("scene").agg(F.max("_cut").alias("_cut"), F.count_if(F.col("v") > F.col("_cut")).alias("_m"), F.coalesce(F.sum(F.when(F.col("v") > F.col("_cut"), F.col("v"))), F.lit(0.0)).alias("_top"))
     return over.join(n, "scene").select("scene", ((F.col("_top") + (F.col("_k") - F.col("_m")) * F.col("_cut")) / F.greatest("_all", F.lit(1e-12))).alias("crispness"))

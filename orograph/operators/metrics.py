@@ -80,7 +80,8 @@ def attenuation(px: DataFrame, by: list[str], *, materiality: float = 0.01, min_
     p, r = F.col("pred"), F.col("ref")
     tall = (p > min_h) & (r > min_h)
     sums = [F.count(F.lit(1)).alias("n"), F.sum(p * r).alias("spr"), F.sum(p * p).alias("spp"), F.sum(r * r).alias("srr"), F.count_if(tall).alias("n_tall")]
-    t = quantiles(finite_pairs(px), by, beside=sums, p99p=(F.when(tall, p), 0.99), p99r=(F.when(tall, r), 0.99))
+    pairs = materialize(finite_pairs(px).select(*by, "pred", "ref"), "pairs")
+    t = quantiles(pairs, by, beside=sums, p99p=(F.when(tall, p), 0.99), p99r=(F.when(tall, r), 0.99))
     t = t.withColumn("gain", F.col("spr") / F.greatest("spp", F.lit(1e-9)))
     rmse = lambda g: F.sqrt(F.greatest((g * g * F.col("spp") - 2.0 * g * F.col("spr") + F.col("srr")) / F.col("n"), F.lit(0.0)))
     t = t.withColumn("rmse_as_is", rmse(F.lit(1.0))).withColumn("rmse_at_gain", rmse(F.col("gain")))

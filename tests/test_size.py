@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from orograph.functions import ranks
 from orograph.functions.ranks import quantiles
 from orograph.functions.tables import beside
 from orograph.operators import buildings, colour, losses
@@ -50,6 +52,24 @@ def test_quantiles_of_several_columns_by_rank(spark):
         assert all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip(flat(p), flat(q), strict=True))
 
 
+def test_ranks_of_uneven_values_sort_few_rows(spark, monkeypatch):
+    """Values over 600 powers of ten, many alike, not finite: each rank is the sorted one's, and of plain values few are sorted."""
+    odd = [0.0] * 500 + [7.5] * 300 + [10.0**k * s for k in range(-300, 300, 3) for s in (1, -1)]
+    rows = [(g, v) for g, vs in (("odd", odd), (None, odd[490:]), ("ends", [float("-inf"), 1.0, 2.0, 3.0, float("inf")])) for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    exact = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(i / 4) for i in range(5)])).alias("q")).collect()}
+    for few in (0, 2_000_000):
+        monkeypatch.setattr(ranks, "MOST", few)
+        got = {r.g: r.q for r in quantiles(df, ["g"], 0, q=("v", *[i / 4 for i in range(5)])).collect()}
+        assert got.keys() == exact.keys() and all(pytest.approx(exact[g]) == got[g] for g in got)
+    sizes = []
+    kept = ranks._sorted_ranks
+    monkeypatch.setattr(ranks, "_sorted_ranks", lambda values, by, wanted: sizes.append(values.count()) or kept(values, by, wanted))
+    t = spark.range(50_000).select(F.lit("a").alias("g"), F.sqrt(F.col("id").cast("double")).alias("v"))
+    assert quantiles(t, ["g"], 0, q=("v", 0.5)).first().q == pytest.approx((24_999**0.5 + 25_000**0.5) / 2)
+    assert sum(sizes) < 500
+
+
 def test_parts_of_a_loss_over_one_scene(spark):
     """The bins of a scene reach its pixels by the scene alone, whatever their estimate."""
     px = spark.range(400).select(F.lit("s").alias("scene"), (F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.lit(2.0).alias("pred"), F.lit(3.0).alias("ref"), F.array(F.lit(0.0), F.lit(0.0)).alias("logits"))
