@@ -104,7 +104,9 @@ def quantiles(df: DataFrame, by: list[str], most: int = MOST, beside: Sequence[C
     v = at_ranks(values, on, n, ranges)
     of = lambda i: F.max(F.when(F.col("side") == i, F.col("v")))
     n = v.groupBy(*on, "j", "k", "at").agg(of(0).alias("v_low"), of(1).alias("v_high")).withColumn("low", F.floor("at"))
-    between = F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(F.col("v_low") + (F.col("at") - F.col("low")) * (F.col("v_high") - F.col("v_low")))
+    # each neighbour by its share, as in the built-in one and in SQL: the last digit decides on pixels at a limit
+    share = F.col("at") - F.col("low")
+    between = F.when(share == 0, F.col("v_low")).otherwise(F.col("v_low") * (F.lit(1.0) - share) + F.col("v_high") * share)
     found = lambda j: F.transform(F.array_sort(F.collect_list(F.when(F.col("j") == j, F.struct("k", between.alias("v"))))), lambda x: x["v"])
     shaped = lambda a, ps: F.get(a, F.lit(0)) if len(ps) == 1 else F.when(F.size(a) > 0, a)
     rows = n.groupBy(*by).agg(*[shaped(found(j), ps).alias(name) for j, (name, (_, *ps)) in enumerate(wanted.items())])

@@ -85,6 +85,17 @@ def test_a_uniform_frame_masks_nothing(spark):
     assert local.cloud_shadow_mask(t).filter("valid").count() == 100
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_pixels_at_the_limit_of_a_mask(spark, monkeypatch, most):
+    """The quarters of these greys lie between two of them, and the upper limit is 112 but for rounding: the same by rank as in the built-in percentile and in SQL."""
+    kept = local.quantiles
+    monkeypatch.setattr(local, "quantiles", lambda df, by, **wanted: kept(df, by, most, **wanted))
+    grey = [72, 63, 53, 52, 123, 153, 112, 46, 53, 63]
+    t = spark.createDataFrame([("s", 0, i, v, v, v) for i, v in enumerate(grey)], "scene string, r int, c int, red int, green int, blue int")
+    got = local.cloud_shadow_mask(t, reach=1.0, max_sat=0.4).filter("not valid")
+    assert sorted(x.red for x in got.collect()) == [112, 123, 153]
+
+
 def test_best_gain(spark):
     t = spark.range(2000).select(F.lit("s").alias("scene"), (F.col("id") % 40 + 1).cast("double").alias("ref")).withColumn("pred", F.col("ref") * 0.7)
     r = metrics.attenuation(t, ["scene"]).first()
