@@ -23,16 +23,27 @@ def clean(z: Column) -> Column:
     return F.when(~bad, z)
 
 
+#: Vectors that a task writes out as pixels.
+VECTORS = 2048
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors dealt over tasks by number: a file of one row group is read by one task, which would write all pixels out."""
+    e = load(spark, sf_dir, "embeddings")
+    n = -(-e.count() // VECTORS)
+    return e.repartition(n, "vec_id") if n > 1 else e
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dense scene: row = vec_id, column = place in the vector."""
-    e = load(spark, sf_dir, "embeddings")
+    e = vectors(spark, sf_dir)
     t = e.select(F.col("vec_id").cast("int").alias("r"), "label", F.posexplode("embedding").alias("c", "z"))
     return t.select(F.lit("g").alias("scene"), "r", "c", clean(F.col("z").cast("double")).alias("z"), "label")
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three scenes of unequal size (four, two and one sevenths of the vectors, 64, 48 and 32 wide)."""
-    e = load(spark, sf_dir, "embeddings")
+    e = vectors(spark, sf_dir)
     n, k = F.floor(F.col("vec_id") / 7), F.col("vec_id") % 7
     scene = F.when(k < 4, "a").when(k < 6, "b").otherwise("c")
     r = F.when(k < 4, n * 4 + k).when(k < 6, n * 2 + k - 4).otherwise(n).cast("int")

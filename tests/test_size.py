@@ -11,6 +11,7 @@ from orograph.functions.ranks import quantiles
 from orograph.functions.tables import beside
 from orograph.operators import buildings, colour, losses
 from orograph.plans.base import six
+from orograph.sources import adapters
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,3 +83,19 @@ def test_a_roof_along_a_line_has_no_plane(spark):
     px = spark.range(10).select(F.lit("s").alias("scene"), F.lit(1).alias("region"), F.lit(3).alias("r"), F.col("id").cast("int").alias("c"), F.col("id").cast("double").alias("z"))
     row = six(buildings.roofs(px)).first()
     assert row.n == 10 and row.height == 6.75 and row.uneven != row.uneven
+
+
+def test_vectors_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    """A table of one row group was written out as pixels by one task."""
+    spark.range(10_000).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("embedding")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for px in (adapters.grid(spark, str(tmp_path)), adapters.scenes(spark, str(tmp_path))):
+        tasks = px.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("c") == 0, F.col("z"))).alias("s")).collect()
+        assert sum(t.n for t in tasks) == 20_000 and sum(t.s or 0 for t in tasks) == sum(range(10_000))
+        assert len(tasks) >= 4 and max(t.n for t in tasks) < 10_000
+
+
+def test_size_says_how_many_tasks_read_a_shuffle(spark):
+    """The session of the tests deals to 4, so 48 MB were read by 4 tasks, and six times as much by 4 as well."""
+    __spark_entry__.queries()["excess_green"](spark, SF)
+    t = spark.range(6_000_000).select(F.xxhash64("id").alias("k")).repartition("k")
+    assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 4
