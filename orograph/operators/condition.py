@@ -26,6 +26,7 @@ def decisions(px: DataFrame, *, reach: float = 2.5, max_sat: float = 0.15, max_b
     t = px.withColumn("deep", F.coalesce("deep", F.lit(False)) if "deep" in px.columns else F.lit(False))
     bands = [F.col(b).cast("double") for b in BANDS]
     t = t.select("scene", "deep", local.luma709(*bands).alias("luma"), local.saturation(*bands).alias("sat"), *BANDS)
+    t = materialize(t, "bands")
     q = quantiles(t, ["scene"], q=("luma", 0.25, 0.5, 0.75))
     level = t.select("scene", F.explode(F.array(*bands)).alias("v"))
     span = quantiles(level, ["scene"], s=("v", 0.02, 0.98))
@@ -38,7 +39,7 @@ def decisions(px: DataFrame, *, reach: float = 2.5, max_sat: float = 0.15, max_b
     one = t.groupBy("scene").agg(F.max("deep").alias("deep"), F.first(mid + reach * iqr).alias("bright"), F.first(mid - reach * iqr).alias("dark"), F.first(uneven).alias("uneven"), share(cloud).alias("cloud"), share(shadow).alias("shadow"), share(cloud | shadow | F.col("luma").isNull()).alias("masked"))
     t = one.join(span, "scene").withColumn("span", F.col("s")[1] - F.col("s")[0]).drop("s")
     why = F.when(F.col("deep"), "more than 8 bits").when((F.col("span") >= 1) & (F.col("span") < narrow), F.concat(F.lit("only "), F.floor(F.col("span") + 0.5).cast("string"), F.lit(" levels of range")))
-    return t.withColumn("rejected", F.col("masked") > max_bad).withColumn("stretch", why)
+    return materialize(t.withColumn("rejected", F.col("masked") > max_bad).withColumn("stretch", why), "conditioning")
 
 
 def conditioned(px: DataFrame, *, contrast: bool = False, decided: DataFrame | None = None, max_sat: float = 0.15, **how) -> DataFrame:
@@ -47,7 +48,7 @@ def conditioned(px: DataFrame, *, contrast: bool = False, decided: DataFrame | N
     With ``contrast`` the luminance of what comes out is equalised by tiles (eight across the longest
     side of a 512-pixel scene), colours scaled along. Missing bands become 0.
     """
-    d = materialize(decided if decided is not None else decisions(px, max_sat=max_sat, **how), "conditioning")
+    d = decided if decided is not None else decisions(px, max_sat=max_sat, **how)
     t = beside(px, d.select("scene", "bright", "dark", "uneven", "rejected", "stretch"), "scene")
     bands = [F.col(b).cast("double") for b in BANDS]
     luma = local.luma709(*bands)
