@@ -18,8 +18,8 @@ def roof_plateaus(spark, d):
     return six(b.plateaus(a.city(spark, d).select(*AT, F.col("height").alias("z")), least_px=20, window=9))
 
 
-def _blocks(spark, d):
-    return a.city(spark, d).filter("height > 0").select("scene", F.col("block").alias("region"), "r", "c", F.col("height").alias("z"))
+def _blocks(spark, d, city=None):
+    return (a.city(spark, d) if city is None else city).filter("height > 0").select("scene", F.col("block").alias("region"), "r", "c", F.col("height").alias("z"))
 
 
 def cleaned_regions(spark, d):
@@ -33,8 +33,8 @@ def region_outlines(spark, d):
     return rings.groupBy("scene", "region").agg(F.count(F.lit(1)).alias("rings"), F.sum("corners").alias("corners"), F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("area"), F.sum("perimeter").alias("perimeter"))
 
 
-def _regular(spark, d):
-    return b.largest_rings(b.regularised(b.outlines(_blocks(spark, d)), eps=1.0))
+def _regular(spark, d, city=None):
+    return b.largest_rings(b.regularised(b.outlines(_blocks(spark, d, city)), eps=1.0))
 
 
 def regular_outlines(spark, d):
@@ -49,8 +49,8 @@ def roof_planes(spark, d):
     return six(b.roofs(t))
 
 
-def _surface(spark, d):
-    return a.city(spark, d).select(*AT, (F.col("ground") + F.col("height")).alias("z"))
+def _surface(spark, d, city=None):
+    return (a.city(spark, d) if city is None else city).select(*AT, (F.col("ground") + F.col("height")).alias("z"))
 
 
 def flattened_ground(spark, d):
@@ -58,8 +58,9 @@ def flattened_ground(spark, d):
 
 
 def city_meshes(spark, d):
-    ground = materialize(b.flattened(_surface(spark, d), _blocks(spark, d)), "ground")
-    stood = b.bases(_regular(spark, d).join(b.roofs(_blocks(spark, d)), ["scene", "region"]), ground).join(resample.dims_of(ground), "scene")
+    city = materialize(a.city(spark, d), "city")
+    ground = materialize(b.flattened(_surface(spark, d, city), _blocks(spark, d, city)), "ground")
+    stood = b.bases(_regular(spark, d, city).join(b.roofs(_blocks(spark, d, city)), ["scene", "region"]), ground).join(resample.dims_of(ground), "scene")
     gv, gf = b.ground_mesh(ground, pixel=0.5, step=2)
     bv, bf = b.solids(stood, pixel=0.5)
     return six(b.mesh_counts(gv.unionByName(bv), gf.unionByName(bf)))
