@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions.ranks import quantiles
-from orograph.functions.tables import beside
+from orograph.functions.tables import beside, materialize
 from orograph.operators import focal, resample
 
 
@@ -41,7 +41,7 @@ def ground_surface(px: DataFrame, k: int, sigma: float) -> DataFrame:
 
 def refine_gate(px: DataFrame, sigma: float, least: float = 0.98) -> DataFrame:
     """Crispness before and after sharpening, and whether the sharpened surface is taken."""
-    t = focal.sharpen(px, sigma)
+    t = materialize(focal.sharpen(px, sigma).select("scene", "r", "c", "z", "sharp"), "sharpened")
     before = focal.crispness(focal.slope_deg(t, 1.0)).withColumnRenamed("crispness", "before")
     after = focal.crispness(focal.slope_deg(t, 1.0, "sharp")).withColumnRenamed("crispness", "after")
     gain = F.col("after") / F.greatest("before", F.lit(1e-12))

@@ -9,7 +9,8 @@ import __spark_entry__
 from orograph.functions import ranks
 from orograph.functions.ranks import quantiles
 from orograph.functions.tables import beside
-from orograph.operators import buildings, colour, losses
+from orograph.operators import buildings, colour, condition, focal, landscape, losses, structures
+from orograph.plans import city
 from orograph.plans.base import six
 from orograph.sources import adapters
 
@@ -99,3 +100,24 @@ def test_size_says_how_many_tasks_read_a_shuffle(spark):
     __spark_entry__.queries()["excess_green"](spark, SF)
     t = spark.range(6_000_000).select(F.xxhash64("id").alias("k")).repartition("k")
     assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_what_is_used_again_is_written_once(spark, monkeypatch):
+    """Quantiles, joins and both sides of a comparison read a written table, not the work before it."""
+    px = spark.range(400).select(F.lit("s").alias("scene"), (F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.sin("id").alias("z"))
+    rgb = px.select("*", *[(F.col("r") + F.col("c") * k).alias(b) for k, b in enumerate(("red", "green", "blue"), 1)])
+    assert "Exchange" not in plan_of(condition.decisions(rgb))
+    assert "Window" not in plan_of(landscape.landscape_classes(rgb, 0.05, 2))
+    seen = []
+    slope = focal.slope_deg
+    monkeypatch.setattr(focal, "slope_deg", lambda t, *a: seen.append(plan_of(t)) or slope(t, *a))
+    structures.refine_gate(px, 2.0)
+    assert len(seen) == 2 and not any("Exchange" in p for p in seen)
+
+
+def test_a_city_is_built_once_for_its_meshes(spark, monkeypatch):
+    built = []
+    one = adapters.city
+    monkeypatch.setattr(adapters, "city", lambda *a: built.append(1) or one(*a))
+    city.city_meshes(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1
