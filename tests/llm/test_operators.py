@@ -261,6 +261,36 @@ def test_repeated_bytes(docs, no_docs, clashing, rows):
     assert drop_repeated_bytes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(("window", "gram"), [(40, 8), (11, 11), (7, 1)])
+def test_anchors_are_the_first_of_the_least_grams(monkeypatch, window, gram):
+    import pyarrow as pa
+
+    from orograph.llm import windows as w
+
+    monkeypatch.setattr(w, "SEGMENT", 70)
+    monkeypatch.setattr(w, "LOOKUP", 3)
+    rng = np.random.default_rng(gram)
+    texts = ["".join(rng.choice(list("ab"), n)) for n in (300, 5, 0, 90)] + ["a" * 200, "ab" * 100, None]
+    plan = w.Plan("byte", window, gram, (1,), refine=True)
+    got = {}
+    for s, _, seg in w.segments(pa.array(texts), plan):
+        for a, p1, p2 in zip(seg.anchor, seg.p1, seg.p2, strict=True):
+            for p in range(p1, p2 + 1):
+                assert s + p not in got
+                got[s + p] = s + a
+    values, offs = w.sequence(pa.array(texts), "byte")
+    grams = w.rolling(values(0, int(offs[-1])), gram)
+    assert grams.dtype == np.uint32
+    want = {}
+    for b, e in zip(offs[:-1], offs[1:], strict=True):
+        for p in range(b, e - window + 1):
+            want[p] = p + int(np.argmin(grams[p : p + plan.places]))
+    assert got == want
+    # texts larger than the processor's cache are taken in pieces
+    monkeypatch.undo()
+    assert max(len(seg.values) for _, _, seg in w.segments(pa.array(["ab" * (1 << 19)]), plan)) <= (1 << 18) + window
+
+
 # 7
 def test_mix(docs, no_docs, clashing, rows):
     from orograph.llm.mixing import mix
